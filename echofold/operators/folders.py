@@ -94,7 +94,7 @@ def fingerprints(
     """
     contents = (
         _with_folder(files.filter("content_hash is not null"))
-        .groupBy(*_FOLDER, "content_hash")
+        .groupBy(*_FOLDER, F.rtrim("content_hash").alias("content_hash"))
         .agg(F.count(F.lit(1)).alias("copies"))
     )
 
@@ -112,11 +112,22 @@ def fingerprints(
         .join(complete, ["scan_run_id", "ancestor"])
     )
 
+    beneath = ["scan_run_id", "ancestor", "file_count"]
+    in_chain = F.col("file_count") <= serial_files
+    chained_contents = contents.join(lineage.filter(in_chain), _FOLDER).select(
+        *beneath, "content_hash", "copies"
+    )
+    # Here a content may sit in any number of folders, so its copies are summed before it is
+    # collected: the slice then holds it once, however common it is.
+    counted_contents = (
+        contents.join(lineage.filter(~in_chain), _FOLDER)
+        .groupBy(*beneath, "content_hash")
+        .agg(F.sum("copies").alias("copies"))
+    )
     part = F.struct(F.col("content_hash").alias("h"), F.col("copies").alias("n"))
     slices = (
-        contents.join(lineage, _FOLDER)
-        .groupBy("scan_run_id", "ancestor", "file_count",
-                 _slice_name(group_files, serial_files).alias("slice"))
+        chained_contents.unionByName(counted_contents)
+        .groupBy(*beneath, _slice_name(group_files, serial_files).alias("slice"))
         .agg(F.sort_array(F.collect_list(part)).alias("parts"))
     )
     # A content kept several times is carried once with its count and written out only here.

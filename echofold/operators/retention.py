@@ -18,11 +18,16 @@ def delete_counts(entries: DataFrame, skips: DataFrame, kept_runs: DataFrame) ->
 
     Rows are counted per run before the join with the kept runs, so no data row is shuffled.
     """
-    def count(rows: DataFrame, name: str) -> DataFrame:
-        per_run = rows.groupBy("scan_run_id").agg(F.count(F.lit(1)).alias("n"))
-        gone = not_retained(per_run, kept_runs)
-        return gone.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias(name))
-
-    counts = count(entries, "files_to_delete").withColumn("all_runs", F.lit(1))
-    other = count(skips, "skips_to_delete").withColumn("all_runs", F.lit(1))
-    return counts.join(other, "all_runs").drop("all_runs")
+    def per_run(rows: DataFrame, is_entry: int) -> DataFrame:
+        counted = rows.groupBy("scan_run_id").agg(F.count(F.lit(1)).alias("n"))
+        return counted.withColumn("is_entry", F.lit(is_entry))
+
+    gone = not_retained(per_run(entries, 1).unionByName(per_run(skips, 0)), kept_runs)
+    return gone.agg(
+        *[
+            F.coalesce(F.sum(F.when(F.col("is_entry") == flag, F.col("n"))), F.lit(0))
+            .cast("long")
+            .alias(name)
+            for flag, name in [(1, "files_to_delete"), (0, "skips_to_delete")]
+        ]
+    )
