@@ -4,7 +4,7 @@ Four styles are understood: drive (``C:\\a``), UNC (``\\\\srv\\share\\a``), POSI
 (``s3://bucket/a``). Each function takes the name of a column (or any SQL expression) holding a path.
 """
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_NAME_CHARS = 260
@@ -34,24 +34,39 @@ def root_sql(path: str) -> str:
     return f"regexp_extract({path}, {_sql_literal(_ROOT)}, 0)"
 
 
+def _parent_or_empty_sql(path: str) -> str:
+    return f"regexp_replace({path}, {_sql_literal(_PARENT)}, '$1$2$3$4')"
+
+
 def parent_path_sql(path: str) -> str:
-    return f"nullif(regexp_replace({path}, {_sql_literal(_PARENT)}, '$1$2$3$4'), '')"
+    return f"nullif({_parent_or_empty_sql(path)}, '')"
 
 
-def ancestors_sql(path: str) -> str:
-    root, parent = root_sql(path), parent_path_sql(path)
-    separator = rf"if({path} rlike {_sql_literal(_BACKSLASH_STYLE)}, '\\', '/')"
-    segments = rf"split(substr({parent}, length({root}) + 1), r'[\\]|/')"
-    slash_segments = f"split(substr({parent}, length({root}) + 1), '/')"
-    segments = f"if({path} rlike {_sql_literal(_BACKSLASH_STYLE)}, {segments}, {slash_segments})"
-    prefixes = (
-        f"transform({segments}, (s, i) -> "
-        f"concat({root}, array_join(slice({segments}, 1, i + 1), {separator})))"
+def separator_sql(path: str) -> str:
+    return rf"if({path} rlike {_sql_literal(_BACKSLASH_STYLE)}, '\\', '/')"
+
+
+def prefixes_sql(folder: str) -> str:
+    """The folders from the root down to and including ``folder``; empty for null.
+
+    The one-element array binds root, body and separator, so they are evaluated once per row.
+    """
+    body = f"substr({folder}, length({root_sql(folder)}) + 1)"
+    bound = (
+        f"filter(array(named_struct('root', {root_sql(folder)}, 'body', {body}, "
+        f"'separator', {separator_sql(folder)})), v -> v.body is not null)"
     )
-    return (
-        f"if({parent} is null, cast(array() as array<string>), concat(array({root}), "
-        f"filter({prefixes}, p -> p <> {root} and not endswith(p, {separator}))))"
+    depth = "length(v.body) - length(replace(v.body, v.separator, '')) + 1"
+    below = (
+        f"filter(transform(sequence(1, {depth}), "
+        "i -> concat(v.root, substring_index(v.body, v.separator, i))), "
+        "p -> p <> v.root and not endswith(p, v.separator))"
     )
+    return f"flatten(transform({bound}, v -> concat(array(v.root), {below})))"
+
+
+def ancestors_sql(path: str) -> str:
+    return prefixes_sql(parent_path_sql(path))
 
 
 def leaf_name_sql(path: str) -> str:
@@ -80,7 +95,49 @@ def ancestors(path: str) -> Column:
 
 def ancestors_or_self(folder: str) -> Column:
     """The folder's ancestors followed by the folder itself."""
-    return F.concat(ancestors(folder), F.array(F.expr(folder)))
+    return F.expr(prefixes_sql(folder))
+
+
+def folder_of(path: str) -> Column:
+    """``parent_path`` with an empty string for null.
+
+    A key that cannot be null spares joins a null test, which would be pushed down to the scan and
+    evaluate the expression a second time.
+    """
+    return F.coalesce(F.expr(_parent_or_empty_sql(path)), F.lit(""))
+
+
+def with_ancestors(rows: DataFrame, folder: str, name: str) -> DataFrame:
+    """Each row once per folder from the root down to and including ``folder``, as column ``name``.
+
+    The same as exploding ``ancestors_or_self``, but the prefixes are cut after the explode, where
+    they are part of generated code. A folder without a root yields nothing.
+    """
+    steps = "length(_body) - length(replace(_body, _separator, '')) + 1"
+    depths = f"sequence(0, if(_body = '', 0, {steps}))"
+    # Repeated separators do not begin another folder.
+    distinct = (
+        f"filter({depths}, d -> d = 0 or not endswith(substring_index(_body, _separator, d), _separator))"
+    )
+    return (
+        rows.withColumn("_root", root_of(folder))
+        .withColumn("_separator", F.expr(separator_sql(folder)))
+        .withColumn("_base", F.expr("if(endswith(_root, _separator), _root, concat(_root, _separator))"))
+        .withColumn("_body", F.expr(f"substr({folder}, length(_base) + 1)"))
+        .withColumn(
+            "_depths",
+            F.expr(
+                f"case when _root = '' then null when contains(_body, concat(_separator, _separator)) "
+                f"then {distinct} else {depths} end"
+            ),
+        )
+        .select("*", F.explode("_depths").alias("_depth"))
+        .withColumn(
+            name,
+            F.expr("if(_depth = 0, _root, concat(_base, substring_index(_body, _separator, _depth)))"),
+        )
+        .drop("_root", "_separator", "_base", "_body", "_depths", "_depth")
+    )
 
 
 def leaf_name(path: str) -> Column:

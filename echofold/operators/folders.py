@@ -34,7 +34,7 @@ _FOLDER = ["scan_run_id", "folder"]
 
 
 def _with_folder(files: DataFrame) -> DataFrame:
-    return files.withColumn("folder", paths.parent_path("full_path")).filter("folder is not null")
+    return files.withColumn("folder", paths.folder_of("full_path"))
 
 
 def folder_rollup(files: DataFrame) -> DataFrame:
@@ -53,9 +53,8 @@ def folder_rollup(files: DataFrame) -> DataFrame:
             F.min("date_created_utc").alias("own_created"),
         )
     )
-    covering = F.explode(paths.ancestors_or_self("folder")).alias("ancestor")
     return (
-        own.select("*", covering)
+        paths.with_ancestors(own, "folder", "ancestor")
         .groupBy("scan_run_id", F.col("ancestor").alias("full_path"))
         .agg(
             F.sum("own_files").alias("file_count"),
@@ -69,99 +68,93 @@ def folder_rollup(files: DataFrame) -> DataFrame:
     )
 
 
-def _slice_name(group_files: int, serial_files: int) -> Column:
-    content, files = F.col("content_hash"), F.col("file_count")
-    return (
-        F.when(files <= group_files, F.lit(""))
-        .when(files <= serial_files, F.substring(content, 1, _CHAIN_DIGITS))
-        .otherwise(F.substring(content, 1, _DIGEST_DIGITS))
-    )
-
-
 def _sha256_hex(hex_text: Column) -> Column:
     return F.sha2(F.unhex(hex_text), 256)
 
 
+def _ordered_text(item: str, order: str, name: str) -> Column:
+    return F.expr(f"listagg({item}, '') within group (order by {order}) as {name}")
+
+
 def fingerprints(
     files: DataFrame,
     rollup: DataFrame,
     group_files: int = GROUP_FILES,
     serial_files: int = SERIAL_FILES,
 ) -> DataFrame:
-    """The fingerprint of every fully hashed folder in ``rollup``.
+    """The fingerprint of every fully hashed folder, by the ``folder_id`` of a staged ``rollup``.
 
-    ``rollup`` is read twice; pass a stored or staged one.
+    A content kept several times travels once with its count. The copies are only written out where
+    a folder's chain is put together, and never in the digests of a larger folder.
     """
     contents = (
         _with_folder(files.filter("content_hash is not null"))
         .groupBy(*_FOLDER, F.rtrim("content_hash").alias("content_hash"))
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-
-    # Each folder with files of its own, paired with the hashed folders that contain it.
     complete = rollup.filter("file_count = hashed_count").select(
-        "scan_run_id", F.col("full_path").alias("ancestor"), "file_count"
+        "scan_run_id", F.col("full_path").alias("ancestor"), "folder_id", "file_count"
     )
-    lineage = (
-        rollup.filter("own_files > 0")
-        .select(
-            "scan_run_id",
-            F.col("full_path").alias("folder"),
-            F.explode(paths.ancestors_or_self("full_path")).alias("ancestor"),
-        )
-        .join(complete, ["scan_run_id", "ancestor"])
-    )
-
-    beneath = ["scan_run_id", "ancestor", "file_count"]
-    in_chain = F.col("file_count") <= serial_files
-    chained_contents = contents.join(lineage.filter(in_chain), _FOLDER).select(
-        *beneath, "content_hash", "copies"
+    # Each folder with files of its own, paired with the folders that contain it. Only the number of
+    # an ancestor is kept: the rows that multiply with depth carry no path.
+    own = rollup.filter("own_files > 0").select("scan_run_id", F.col("full_path").alias("folder"))
+    lineage = paths.with_ancestors(own, "folder", "ancestor")
+
+    def beneath(size: Column) -> DataFrame:
+        """Contents of the folders of one size class."""
+        wanted = lineage.join(complete.filter(size), ["scan_run_id", "ancestor"]).drop("ancestor")
+        return contents.join(wanted, _FOLDER).select("folder_id", "file_count", "content_hash", "copies")
+
+    count = F.col("file_count")
+    chain = "repeat(content_hash, int(copies))"
+    ending = text.int64_le_hex(count)
+
+    def slice_of(digits: int) -> Column:
+        return F.substring("content_hash", 1, digits).alias("slice")
+
+    small = (
+        beneath(count <= group_files)
+        .groupBy("folder_id", "file_count")
+        .agg(_ordered_text(chain, "content_hash", "hashes"))
+        .select("folder_id", _sha256_hex(F.concat("hashes", ending)).alias("content_hash"))
     )
-    # Here a content may sit in any number of folders, so its copies are summed before it is
-    # collected: the slice then holds it once, however common it is.
-    counted_contents = (
-        contents.join(lineage.filter(~in_chain), _FOLDER)
-        .groupBy(*beneath, "content_hash")
-        .agg(F.sum("copies").alias("copies"))
+    largest = rollup.agg(F.max("file_count")).first()[0] or 0
+    if largest <= group_files:
+        return small
+
+    pieces = (
+        beneath((count > group_files) & (count <= serial_files))
+        .groupBy("folder_id", "file_count", slice_of(_CHAIN_DIGITS))
+        .agg(_ordered_text(chain, "content_hash", "piece"))
     )
-    part = F.struct(F.col("content_hash").alias("h"), F.col("copies").alias("n"))
-    slices = (
-        chained_contents.unionByName(counted_contents)
-        .groupBy(*beneath, _slice_name(group_files, serial_files).alias("slice"))
-        .agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    )
-    # A content kept several times is carried once with its count and written out only here.
-    chained = F.expr("array_join(transform(parts, p -> repeat(p.h, int(p.n))), '')")
-    counted = F.expr("array_join(transform(parts, p -> concat(p.h, ':', p.n)), ',')")
-    ending = text.int64_le_hex(F.col("file_count"))
-    files_beneath = F.col("file_count")
-    pieces = slices.select(
-        "scan_run_id", "ancestor", "file_count", "slice",
-        F.when(files_beneath <= group_files, _sha256_hex(F.concat(chained, ending)))
-        .when(files_beneath <= serial_files, chained)
-        .otherwise(F.sha2(counted, 256))
-        .alias("piece"),
-    )
-    joined = F.expr("array_join(transform(pieces, p -> p.piece), '')")
-    return (
-        pieces.groupBy("scan_run_id", F.col("ancestor").alias("full_path"), "file_count")
-        .agg(F.sort_array(F.collect_list(F.struct("slice", "piece"))).alias("pieces"))
-        .select(
-            "scan_run_id", "full_path",
-            F.when(files_beneath <= group_files, F.col("pieces")[0]["piece"])
-            .otherwise(_sha256_hex(F.concat(joined, ending)))
-            .alias("content_hash"),
+    if largest > serial_files:
+        # One content may sit in any number of folders here. Its copies are summed before anything
+        # is collected, so a slice holds it once, however common it is.
+        digested = (
+            beneath(count > serial_files)
+            .groupBy("folder_id", "file_count", "content_hash")
+            .agg(F.sum("copies").alias("copies"))
+            .groupBy("folder_id", "file_count", slice_of(_DIGEST_DIGITS))
+            .agg(_ordered_text("concat(content_hash, ':', copies, ',')", "content_hash", "counted"))
+            .select("folder_id", "file_count", "slice", F.sha2("counted", 256).alias("piece"))
         )
+        pieces = pieces.unionByName(digested)
+    large = (
+        pieces.groupBy("folder_id", "file_count")
+        .agg(_ordered_text("piece", "slice", "hashes"))
+        .select("folder_id", _sha256_hex(F.concat("hashes", ending)).alias("content_hash"))
     )
+    return small.unionByName(large)
 
 
 def folder_rows(
     files: DataFrame, group_files: int = GROUP_FILES, serial_files: int = SERIAL_FILES
 ) -> DataFrame:
     """One row per run and folder, in the shape of an entry; the fingerprint is the content hash."""
-    rollup = stage(folder_rollup(files), "rollup")
+    numbered = folder_rollup(files).withColumn("folder_id", F.monotonically_increasing_id())
+    rollup = stage(numbered, "rollup")
     found = fingerprints(files, rollup, group_files, serial_files)
-    return rollup.join(found, ["scan_run_id", "full_path"], "left").select(
+    return rollup.join(found, "folder_id", "left").select(
         "scan_run_id",
         F.lit(S.FOLDER).alias("entry_type"),
         paths.short_name(paths.leaf_name("full_path")).alias("file_name"),

@@ -51,14 +51,14 @@ def member_ancestors(of_sets: DataFrame) -> DataFrame:
     Copies side by side in one folder share all their ancestors, so they are counted first
     (``siblings``) and climb together. A path is counted once per set.
     """
-    return (
+    siblings = (
         of_sets.select(*CONTENT_KEY, "full_path").distinct()
         .withColumn("parent", paths.parent_path("full_path"))
         .filter("parent is not null")
         .groupBy(*CONTENT_KEY, "parent")
         .agg(F.count(F.lit(1)).alias("siblings"))
-        .select("*", F.explode(paths.ancestors_or_self("parent")).alias("ancestor"))
     )
+    return paths.with_ancestors(siblings, "parent", "ancestor")
 
 
 def cover(of_sets: DataFrame) -> DataFrame:

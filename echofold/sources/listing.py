@@ -197,8 +197,7 @@ def exclude_links(listing: DataFrame, follow_links: bool = False) -> DataFrame:
     linked = listing.filter("is_dir and is_link").select(F.col("full_path").alias("ancestor")).distinct()
     in_folder = files.withColumn("folder", paths.parent_path("full_path"))
     hidden = (
-        in_folder.select("folder").distinct()
-        .select("folder", F.explode(paths.ancestors_or_self("folder")).alias("ancestor"))
+        paths.with_ancestors(in_folder.select("folder").distinct(), "folder", "ancestor")
         .join(linked, "ancestor", "left_semi")
         .select("folder")
         .distinct()

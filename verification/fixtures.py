@@ -16,10 +16,15 @@ from echofold.sources.listing import listing_from_table
 from echofold.staging import stage
 
 LOCKED = "IOException: file locked"
+_LARGE = {"documents", "lineitem"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. A single file may be one row group, so its rows are spread over the cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in _LARGE and len(rows.inputFiles()) == 1:
+        return rows.repartition(spark.sparkContext.defaultParallelism)
+    return rows
 
 
 def _minutes_after(start: str, minutes: str) -> Column:
@@ -92,31 +97,29 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File rows of every run."""
+    """File rows of every run. Each document is read and hashed once for its four runs."""
     docs = document_listing(spark, sf_dir, keep=("source", "unreadable"))
-    no_error = F.lit(None).cast("string")
-
-    def run(rows: DataFrame, run_id: Column, content: Column, error: Column = no_error) -> DataFrame:
-        return rows.select(
-            run_id.alias("scan_run_id"), F.lit(S.FILE).alias("entry_type"), "file_name", "full_path",
-            "size_bytes", "date_modified_utc", "date_created_utc",
-            content.alias("content_hash"), error.alias("scan_error"),
-        )
-
-    def of_source(k: int) -> Column:
-        return F.concat(F.lit("r-"), F.col("source"), F.lit(f"-{k}"))
-
-    content = F.col("content_hash")
-    backup = docs.withColumn(
-        "full_path", F.concat(F.lit("s3://backup/old/"), F.substring("full_path", 6, 1_000_000))
+    per_run = F.expr(
+        f"""inline(array(
+            named_struct('scan_run_id', concat('r-', source, '-0'), 'path', full_path,
+                         'hash', content_hash, 'scan_error', cast(null as string)),
+            named_struct('scan_run_id', concat('r-', source, '-1'), 'path', full_path,
+                         'hash', if(unreadable, null, content_hash),
+                         'scan_error', if(unreadable, '{LOCKED}', null)),
+            named_struct('scan_run_id', concat('r-', source, '-2'), 'path', full_path,
+                         'hash', cast(null as string), 'scan_error', cast(null as string)),
+            named_struct('scan_run_id', 'r-backup-1', 'path', concat('s3://backup/old/', substr(full_path, 6)),
+                         'hash', content_hash, 'scan_error', cast(null as string))))"""
     )
-    return (
-        run(docs, of_source(0), content)
-        .unionAll(run(docs, of_source(1), F.when(~F.col("unreadable"), content),
-                      F.when(F.col("unreadable"), LOCKED)))
-        .unionAll(run(docs, of_source(2), no_error))
-        .unionAll(run(backup, F.lit("r-backup-1"), content))
-        .unionAll(run(page_listing(spark, sf_dir), F.lit("r-ghost"), content))
+    described = ["file_name", "size_bytes", "date_modified_utc", "date_created_utc"]
+    of_documents = docs.select(*described, per_run)
+    of_pages = page_listing(spark, sf_dir).select(
+        *described, F.lit("r-ghost").alias("scan_run_id"), F.col("full_path").alias("path"),
+        F.col("content_hash").alias("hash"), F.lit(None).cast("string").alias("scan_error"),
+    )
+    return of_documents.unionByName(of_pages).select(
+        "scan_run_id", F.lit(S.FILE).alias("entry_type"), "file_name", F.col("path").alias("full_path"),
+        "size_bytes", "date_modified_utc", "date_created_utc", F.col("hash").alias("content_hash"), "scan_error",
     )
 
 

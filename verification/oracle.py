@@ -325,7 +325,7 @@ WITH copies AS (
   FROM (SELECT *, unnest({_ancestors("full_path")}) AS folder FROM entries_files) GROUP BY ALL),
 slices AS (
   SELECT scan_run_id, folder, substr(content_hash, 1, 4) AS slice,
-    sha256(string_agg(content_hash || ':' || n, ',' ORDER BY content_hash)) AS digest
+    sha256(string_agg(content_hash || ':' || n || ',', '' ORDER BY content_hash)) AS digest
   FROM copies GROUP BY ALL),
 digests AS (
   SELECT scan_run_id, folder, string_agg(digest, '' ORDER BY slice) AS joined FROM slices GROUP BY ALL)
