@@ -2,7 +2,7 @@
 
 import socket
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,7 +92,9 @@ def inventory_of_roots(
 ) -> Inventory:
     """Inventory every file beneath the given storage roots, one run per root."""
     store = Inventory(spark, base)
-    listings = L.read_listings(spark, roots)
+    found = L.read_listings(spark, roots)
+    # Listed once: what happens to a file later shows as its error, not as a missing row.
+    listings = replace(found, files=stage(found.files, "listing"))
     root_rows = spark.createDataFrame([(root,) for root in roots], "root string")
     _run(
         store, batch, root_rows, listings.files,

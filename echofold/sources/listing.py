@@ -20,6 +20,7 @@ from echofold.staging import stage
 # Larger files are hashed as a stream instead of being loaded as one value.
 WHOLE_FILE_BYTES = 256 << 20
 _STREAM_BUFFER = 1 << 20
+_STREAMS_PER_CORE = 2
 
 LISTING = "root string, full_path string, file_name string, size_bytes bigint, " \
     "date_modified_utc timestamp_ntz, date_created_utc timestamp_ntz"
@@ -31,9 +32,11 @@ def _utc(ts: str) -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(ts).cast("timestamp_ntz"))
 
 
-def _binary_files(spark: SparkSession, root: str, **options: str) -> DataFrame:
+def _binary_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files as rows; one that vanishes or cannot be read is left out instead of failing the job."""
+    tolerant = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return reader.options(**options).load(root)
+    return reader.options(**tolerant).load(root)
 
 
 def read_listing(spark: SparkSession, root: str) -> DataFrame:
@@ -116,11 +119,8 @@ def hash_as_streams(files: DataFrame) -> DataFrame:
 
 
 def hash_whole_files(spark: SparkSession, root: str, largest: int) -> DataFrame:
-    """Hash files up to ``largest`` bytes; the size test is pushed into the scan.
-
-    Unreadable files are left out rather than failing the job.
-    """
-    files = _binary_files(spark, root, ignoreCorruptFiles="true", ignoreMissingFiles="true")
+    """Hash files up to ``largest`` bytes; the size test is pushed into the scan."""
+    files = _binary_files(spark, root)
     return files.filter(F.col("length") <= largest).select(
         F.lit(root).alias("root"),
         F.col("path").alias("full_path"),
@@ -134,8 +134,8 @@ def hash_results(
 ) -> DataFrame:
     """A hash or an error for every listed file within the size limit.
 
-    Common sizes are read as values inside the JVM, larger files as streams. What the first pass
-    could not read is tried once more as a stream, which records why.
+    Common sizes are read as values inside the JVM. Larger files, and those that could not be read
+    that way, are hashed as streams, which records why one fails.
     """
     files = listings.files
     spark = files.sparkSession
@@ -145,11 +145,11 @@ def hash_results(
     passes = [hash_whole_files(spark, root, largest) for root in listings.roots]
     whole = stage(reduce(DataFrame.unionAll, passes), "hashes")
     wanted = files.filter(within_limit(F.col("size_bytes"), max_hash_bytes))
-    large = wanted.filter(F.col("size_bytes") > largest)
-    unread = wanted.filter(F.col("size_bytes") <= largest).join(whole, ["root", "full_path"], "left_anti")
-    # A fixed partition count keeps adaptive execution from packing slow reads into one task.
-    spread = unread.repartition(spark.sparkContext.defaultParallelism)
-    return whole.unionByName(hash_as_streams(large)).unionByName(hash_as_streams(spread))
+    rest = wanted.join(whole, ["root", "full_path"], "left_anti")
+    # These rows are tiny but slow to work on. A fixed partition count keeps adaptive execution from
+    # packing them into one task.
+    spread = rest.repartition(_STREAMS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return whole.unionByName(hash_as_streams(spread))
 
 
 def listing_from_table(

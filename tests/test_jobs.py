@@ -1,5 +1,6 @@
 import hashlib
 import json
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
@@ -14,6 +15,7 @@ from echofold.plans.pipeline import ChainOptions, after_inventory
 from echofold.plans.report import in_report_order, write_report, yaml_lines
 from echofold.sources import listing as L
 from echofold.sources.store import Inventory, utc_now
+from echofold.staging import stage
 
 
 @pytest.fixture
@@ -166,6 +168,7 @@ def test_large_and_unreadable_files_are_streamed(spark, drives):
     whole = {r.full_path: r.content_hash for r in L.hash_results(listings).collect()}
     streamed = {r.full_path: r.content_hash for r in L.hash_results(listings, whole_file_bytes=1).collect()}
     assert whole == streamed and len(whole) == 6
+    listings = replace(listings, files=stage(listings.files, "listing"))
     Path(drives[0], "note.txt").unlink()
     gone = [r for r in L.hash_results(listings).collect() if r.full_path.endswith("note.txt")]
     assert len(gone) == 1 and gone[0].content_hash is None
