@@ -134,7 +134,10 @@ def with_ancestors(rows: DataFrame, folder: str, name: str) -> DataFrame:
         .select("*", F.explode("_depths").alias("_depth"))
         .withColumn(
             name,
-            F.expr("if(_depth = 0, _root, concat(_base, substring_index(_body, _separator, _depth)))"),
+            F.expr(
+                "coalesce(if(_depth = 0, _root, "
+                "concat(_base, substring_index(_body, _separator, _depth))), '')"
+            ),
         )
         .drop("_root", "_separator", "_base", "_body", "_depths", "_depth")
     )

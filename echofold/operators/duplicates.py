@@ -9,15 +9,16 @@ from echofold.schemas import CONTENT_KEY
 def duplicate_sets(rows: DataFrame, min_wasted: int = 0) -> DataFrame:
     """Sets of two or more copies that waste at least ``min_wasted`` bytes.
 
-    Copies are counted and names compared by partial aggregates before each shuffle; distinct names
-    are spread by (content, name), so one very common content does not land in one task.
+    Copies are first counted per name, which spreads one very common content over many tasks and
+    keeps that step a hash aggregate; the second step then sees one row per name.
     """
+    per_name = rows.groupBy(*CONTENT_KEY, "file_name").agg(F.count(F.lit(1)).alias("copies"))
     return (
-        rows.groupBy(*CONTENT_KEY)
+        per_name.groupBy(*CONTENT_KEY)
         .agg(
-            F.count(F.lit(1)).alias("copy_count"),
+            F.sum("copies").alias("copy_count"),
             F.min("file_name").alias("file_name"),
-            F.count_distinct("file_name").alias("distinct_name_count"),
+            F.count("file_name").alias("distinct_name_count"),
         )
         .withColumn("wasted_bytes", (F.col("copy_count") - 1) * F.col("size_bytes"))
         .filter((F.col("copy_count") > 1) & (F.col("wasted_bytes") >= min_wasted))

@@ -53,9 +53,7 @@ def member_ancestors(of_sets: DataFrame) -> DataFrame:
     """
     siblings = (
         of_sets.select(*CONTENT_KEY, "full_path").distinct()
-        .withColumn("parent", paths.parent_path("full_path"))
-        .filter("parent is not null")
-        .groupBy(*CONTENT_KEY, "parent")
+        .groupBy(*CONTENT_KEY, paths.folder_of("full_path").alias("parent"))
         .agg(F.count(F.lit(1)).alias("siblings"))
     )
     return paths.with_ancestors(siblings, "parent", "ancestor")

@@ -3,9 +3,11 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echofold.operators.runs import of_runs
+
 
 def retained(rows: DataFrame, kept_runs: DataFrame) -> DataFrame:
-    return rows.join(kept_runs.select("scan_run_id"), "scan_run_id", "left_semi")
+    return of_runs(rows, kept_runs)
 
 
 def not_retained(rows: DataFrame, kept_runs: DataFrame) -> DataFrame:

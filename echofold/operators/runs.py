@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from echofold import schemas as S
 from echofold.functions import paths, text
 
+MAX_LISTED_RUNS = 4096
+
 
 def eligible_runs(scans: DataFrame, drives: list[str] | None = None) -> DataFrame:
     """Completed runs with a known drive, optionally only those of the given canonical drives."""
@@ -47,15 +49,23 @@ def incomplete_runs(scans: DataFrame) -> DataFrame:
     return scans.filter((F.col("status") == S.RUNNING) | F.col("completed_at_utc").isNull())
 
 
-def current_entries(entries: DataFrame, runs: DataFrame, entry_type: str | None = None) -> DataFrame:
-    """Rows of the selected runs only.
+def of_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rows of the given runs only.
 
-    ``scan_run_id`` and ``entry_type`` are partition columns of a stored inventory: the type is
-    pruned statically, the run ids by dynamic pruning whenever Spark finds the run list small.
+    ``scan_run_id`` is a partition column of a stored inventory. A list of run ids of checked length
+    becomes a literal filter, so other runs' files are not even listed; a longer one is joined.
     """
+    ids = [row[0] for row in runs.select("scan_run_id").limit(MAX_LISTED_RUNS + 1).collect()]
+    if len(ids) <= MAX_LISTED_RUNS:
+        return rows.filter(F.col("scan_run_id").isin(ids))
+    return rows.join(runs.select("scan_run_id"), "scan_run_id", "left_semi")
+
+
+def current_entries(entries: DataFrame, runs: DataFrame, entry_type: str | None = None) -> DataFrame:
+    """Rows of the selected runs, of one type if given."""
     if entry_type is not None:
         entries = entries.filter(F.col("entry_type") == entry_type)
-    return entries.join(runs.select("scan_run_id"), "scan_run_id", "left_semi")
+    return of_runs(entries, runs)
 
 
 def hashed(entries: DataFrame) -> DataFrame:

@@ -46,7 +46,6 @@ def select_content(
     entries: DataFrame, scans: DataFrame, drives: list[str] | None = None, require_hash: bool = False
 ) -> CurrentContent:
     wanted = R.canonical_drives(scans, drives) if drives else None
-    # Staged: its true size decides whether Spark broadcasts it and prunes partitions by it.
     runs = stage(R.latest_runs(scans, wanted, require_hash), "runs")
     return CurrentContent(
         runs=runs.orderBy("drive"),

@@ -1,8 +1,11 @@
 """Dropping the rows of superseded, unfinished and unknown runs; the run log always stays."""
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from echofold import schemas as S
 from echofold.operators import retention
@@ -53,3 +56,40 @@ def cleanup_execute(store: Inventory, out: str, dry_run: bool = False) -> Cleanu
     target.write_skips(retention.retained(store.skips(), plan.kept_runs))
     target.write_events(store.scan_events())
     return CleanupResult(files, skips, written=True)
+
+
+# Partitions named in one statement.
+_DROP_BATCH = 100
+
+
+def _literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _dropped(rows: DataFrame, keys: list[str], kept_runs: DataFrame) -> Iterator[tuple[str, int]]:
+    """The partitions to drop, as specifications with their row counts; one row per partition."""
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    for row in retention.not_retained(counted, kept_runs).toLocalIterator():
+        yield ", ".join(f"{key} = {_literal(row[key])}" for key in keys), row["n"]
+
+
+def cleanup_tables(
+    spark: SparkSession, entries: str, skips: str, scans: DataFrame, dry_run: bool = False
+) -> CleanupResult:
+    """Clean up managed catalog tables in place, partitioned as the stored inventory is.
+
+    Every row of a run lies in partitions of its own, so dropping those rewrites no data.
+    """
+    kept = stage(latest_runs(scans), "kept-runs")
+    if kept.isEmpty():
+        raise NoCompletedRun("no completed run found; refusing to delete every row")
+    deleted = []
+    for table, keys in [(entries, ["scan_run_id", "entry_type"]), (skips, ["scan_run_id"])]:
+        total = 0
+        for batch in batched(_dropped(spark.table(table), keys, kept), _DROP_BATCH):
+            if not dry_run:
+                specs = ", ".join(f"partition ({spec})" for spec, _ in batch)
+                spark.sql(f"alter table {table} drop if exists {specs}")
+                total += sum(n for _, n in batch)
+        deleted.append(total)
+    return CleanupResult(*deleted, written=any(deleted))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from echofold import schemas as S
 from echofold.operators.folders import folder_rows
+from echofold.operators.runs import of_runs
 from echofold.operators.summary import merge_hashes
 from echofold.sources import listing as L
 from echofold.sources import run_log
@@ -58,7 +59,7 @@ def _run(
         store.write_events(run_log.closed(opening, mine(store.entries()), utc_now(), status, error))
 
     def mine(entries: DataFrame) -> DataFrame:
-        return entries.join(opening.select("scan_run_id"), "scan_run_id", "left_semi")
+        return of_runs(entries, opening)
 
     def stamped(rows: DataFrame) -> DataFrame:
         return rows.withColumn("scanned_at_utc", ntz(utc_now()))

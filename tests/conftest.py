@@ -11,8 +11,9 @@ SF_DIR = Path("/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session("tests", 8)
+def spark(tmp_path_factory):
+    warehouse = tmp_path_factory.mktemp("warehouse")
+    return local_session("tests", 8, **{"spark.sql.warehouse.dir": str(warehouse)})
 
 
 @pytest.fixture(scope="session")

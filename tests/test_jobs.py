@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from echofold import schemas as S
 from echofold.plans import inventory as I
 from echofold.plans.analysis import NoCompletedRun, duplicates_over, top_duplicates
-from echofold.plans.cleanup import cleanup_execute, cleanup_plan
+from echofold.operators.runs import latest_runs
+from echofold.plans.cleanup import cleanup_execute, cleanup_plan, cleanup_tables
 from echofold.plans.inventory import InventoryOptions, inventory_of_listing, inventory_of_roots
 from echofold.plans.pipeline import ChainOptions, after_inventory
 from echofold.plans.report import in_report_order, write_report, yaml_lines
@@ -117,6 +118,24 @@ def test_superseded_runs_are_cleaned_up_once(spark, store, drives, tmp_path):
     assert cleanup_execute(clean, str(tmp_path / "twice")).written is False
 
 
+def test_managed_tables_are_cleaned_up_in_place(spark, store, drives):
+    again = inventory_of_roots(spark, store.base, "it's 2", drives[:1])
+    for name, rows, by in [
+        ("kept_entries", again.entries(), ["scan_run_id", "entry_type"]), ("kept_skips", again.skips(), ["scan_run_id"]),
+    ]:
+        rows.write.partitionBy(*by).saveAsTable(name)
+    scans = stage(again.scans(), "scans")
+    assert cleanup_tables(spark, "kept_entries", "kept_skips", scans, dry_run=True).written is False
+    before = spark.table("kept_entries").count()
+    result = cleanup_tables(spark, "kept_entries", "kept_skips", scans)
+    after = spark.table("kept_entries").select("scan_run_id").distinct().collect()
+    assert result.files_deleted == before - spark.table("kept_entries").count() > 0
+    assert {r[0] for r in after} == {r.scan_run_id for r in latest_runs(scans).collect()}
+    assert cleanup_tables(spark, "kept_entries", "kept_skips", scans).files_deleted == 0
+    spark.sql("drop table kept_entries")
+    spark.sql("drop table kept_skips")
+
+
 def test_limits_and_switches(spark, drives, tmp_path):
     limited = InventoryOptions(max_hash_bytes=2)
     rows = inventory_of_roots(spark, str(tmp_path / "i1"), "b", drives, limited).entries()
