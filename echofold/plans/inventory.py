@@ -65,6 +65,8 @@ def _run(
         return rows.withColumn("scanned_at_utc", ntz(utc_now()))
 
     try:
+        # First, so that even a run that fails later leaves them behind.
+        store.write_skips(stamped(skips.withColumn("scan_run_id", run_log.run_id(batch))))
         listed = file_entries(files, batch, options.compute_hash)
         hashing = options.compute_hash and results is not None
         if options.durable_metadata:
@@ -77,7 +79,6 @@ def _run(
         if options.compute_hash and options.compute_folders:
             stored = mine(store.entries().filter(F.col("entry_type") == S.FILE))
             store.write_entries(stamped(folder_rows(stored)))
-        store.write_skips(stamped(skips.withColumn("scan_run_id", run_log.run_id(batch))))
     except KeyboardInterrupt:
         close(S.CANCELED)
         raise
