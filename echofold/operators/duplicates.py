@@ -25,15 +25,20 @@ def duplicate_sets(rows: DataFrame, min_wasted: int = 0) -> DataFrame:
     )
 
 
+def total_of_sets(sets: DataFrame) -> DataFrame:
+    """Reclaimable bytes over the given sets; 0 when there are none."""
+    total = F.coalesce(F.sum("wasted_bytes"), F.lit(0)).cast("long")
+    return sets.agg(total.alias("total_wasted_bytes"))
+
+
 def total_wasted(rows: DataFrame) -> DataFrame:
-    """Reclaimable bytes over all sets; 0 when there are none."""
+    """Reclaimable bytes over all sets of the rows, without working out their names."""
     sets = (
         rows.groupBy(*CONTENT_KEY)
         .agg(F.count(F.lit(1)).alias("copy_count"))
         .filter("copy_count > 1")
     )
-    wasted = F.sum((F.col("copy_count") - 1) * F.col("size_bytes"))
-    return sets.agg(F.coalesce(wasted, F.lit(0)).cast("long").alias("total_wasted_bytes"))
+    return total_of_sets(sets.selectExpr("(copy_count - 1) * size_bytes as wasted_bytes"))
 
 
 def top_sets(sets: DataFrame, n: int) -> DataFrame:
@@ -52,6 +57,7 @@ def sample_locations(rows: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     """The first ``k`` copies of each set in path order; ``k`` <= 0 keeps them all.
 
     The rank filter is applied before the shuffle too: each task passes on at most ``k`` rows a set.
+    (Spark does so up to ``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 by default.)
     """
     found = locations(rows, sets)
     if k <= 0:

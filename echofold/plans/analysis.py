@@ -3,6 +3,7 @@
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from echofold import schemas as S
 from echofold.operators import duplicates as D
@@ -64,11 +65,13 @@ def top_duplicates(
         scope = f" for {', '.join(drives)}" if drives else ""
         raise NoCompletedRun(f"no completed run found{scope}; finish a run before analyzing")
     pruned = content.pruned_folders()
-    file_sets = stage(D.top_sets(D.duplicate_sets(content.files), n), "file-sets")
+    # The entries are grouped once; the total and the top sets both come from the stored sets.
+    all_sets = stage(D.duplicate_sets(content.files), "all-file-sets")
+    file_sets = stage(D.top_sets(all_sets, n), "file-sets")
     folder_sets = stage(D.top_sets(pruned.sets(), n), "folder-sets")
     return DuplicateAnalysis(
         scans=content.runs,
-        total=D.total_wasted(content.files),
+        total=D.total_of_sets(all_sets),
         file_sets=file_sets,
         folder_sets=folder_sets,
         file_locations=D.sample_locations(content.files, file_sets, k),
@@ -84,11 +87,12 @@ def duplicates_over(
     floor = max(min_wasted, 0)
     content = select_content(entries, scans, drives, require_hash)
     pruned = content.pruned_folders()
-    file_sets = stage(D.duplicate_sets(content.files, floor), "file-sets")
+    all_sets = stage(D.duplicate_sets(content.files), "all-file-sets")
+    file_sets = all_sets.filter(F.col("wasted_bytes") >= floor)
     folder_sets = stage(pruned.sets(floor), "folder-sets")
     return DuplicateAnalysis(
         scans=content.runs,
-        total=D.total_wasted(content.files),
+        total=D.total_of_sets(all_sets),
         file_sets=file_sets,
         folder_sets=folder_sets,
         file_locations=D.locations(content.files, file_sets),

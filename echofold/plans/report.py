@@ -164,7 +164,8 @@ def _padded(pad: Callable[..., Column], value: Column, width: int) -> Column:
 def preview(sets: DataFrame, samples: DataFrame, label: str) -> DataFrame:
     """The ranked top sets as display text: headline, sampled copies, and how many are not shown.
 
-    Meant for the bounded output of a top-n analysis; ranking it needs one partition.
+    Meant for the bounded output of a top-n analysis with a positive sample size: ranking it needs
+    one partition, and a set's sampled copies become one value.
     """
     shown = samples.groupBy(*CONTENT_KEY).agg(
         F.array_sort(F.collect_list("full_path")).alias("paths"), F.count(F.lit(1)).alias("shown")
