@@ -13,7 +13,8 @@ SF_DIR = Path("/root/testdata/sf0.001")
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     warehouse = tmp_path_factory.mktemp("warehouse")
-    return local_session("tests", 8, **{"spark.sql.warehouse.dir": str(warehouse)})
+    settings = {"spark.sql.warehouse.dir": str(warehouse), "spark.sql.shuffle.partitions": "2"}
+    return local_session("tests", 8, **settings)
 
 
 @pytest.fixture(scope="session")
