@@ -100,10 +100,11 @@ def apportion(parties: DataFrame, group: list[str], party: str, votes: str, seat
     quotients = quotients.withColumn("_quotient", F.col(votes) / (2 * F.col("_seat") + 1))
     order = Window.partitionBy(*group).orderBy(F.desc("_quotient"), F.col(party).asc_nulls_last())
     won = quotients.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= F.col("_left"))
-    won = won.groupBy(*group, party).agg(F.count(F.lit(1)).alias("_won"))
-    same = [enclosed[c].eqNullSafe(won[c]) for c in [*group, party]]
+    keys = [F.col(c).alias(f"_key_{c}") for c in [*group, party]]
+    won = won.groupBy(*keys).agg(F.count(F.lit(1)).alias("_won"))
+    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in [*group, party]]
     return enclosed.join(won, same, "left").select(
-        *[enclosed[c] for c in parties.columns],
+        *parties.columns,
         (F.col("_lower") + F.coalesce(F.col("_won"), F.lit(0))).alias("quota"),
     )
 
