@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echofold.llm import tokens
-from echofold.llm.tables import numbered
+from echofold.llm.tables import numbered, stage
 from echofold.llm.token_files import checksum
 
 CAPACITY = 2_048
@@ -234,7 +234,8 @@ _SPAN = 1 << 50
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give each piece a sequence and its place in it."""
     spark = pieces.sparkSession
-    rows = pieces.select(*_ARROW.names)
+    # Written first: the range borders are drawn from the rows, and the texts are encoded once.
+    rows = stage(pieces.select(*_ARROW.names), "cut-pieces")
     order = [F.col("length"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32"), F.col("start")]
     in_order = numbered(rows, order, "pieces")
     # One row per length: bounded by the capacity.

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echofold.llm import tokens
-from echofold.llm.tables import numbered, shared_path
+from echofold.llm.tables import numbered, shared_path, stage
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
@@ -99,6 +99,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(stored: DataFrame) -> DataFrame:
     """From the stored ids: each document's start, number of tokens and checksum."""
     read = stored.select("doc_id", "ids").mapInArrow(_digests, "doc_id bigint, n_tokens bigint, ids_crc32 bigint")
+    read = stage(read, "digests")
     order = [F.col("doc_id"), F.col("ids_crc32"), F.col("n_tokens")]
     return running_start(read, order, "n_tokens", "start")
 

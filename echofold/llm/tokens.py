@@ -16,11 +16,14 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Pieces kept between batches, in one Python worker.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 600_000
 # Longer pieces are rare and not kept.
 _LONGEST_CACHED = 64
+# Pieces encoded by one call.
+_RUN = 500
+_PUNCTUATION = ",.;:!?"
 # Texts per step of a batch, in bytes.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 8 << 20
 
 # Where the split on single blanks and line ends would not meet the vocabulary's own: white space
 # beside a blank or a line end, and the marks of special tokens.
@@ -35,6 +38,9 @@ class Encoder:
 
     ``blanks``: the vocabulary keeps a blank as part of the word behind it (byte-level BPE);
     otherwise white space is dropped (BPE with word ends).
+
+    Known pieces are numbered; the ids of all of them lie in one array, so the ids of a text are
+    gathered by its pieces' numbers without touching them one by one.
     """
 
     def __init__(self, path: str, blanks: bool):
@@ -42,22 +48,78 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.blanks = blanks
-        self.cache: dict[str, np.ndarray] = {}
+        # A mark is a piece of its own to the vocabulary wherever it stands between two others.
+        self.mark, self.between = ("\n", "\n") if blanks else ("~", " ~ ")
+        (self.mark_id,) = self._whole([self.mark])[0].tolist()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, dtype="<u4")
+        self.starts = np.zeros(1, dtype=np.int64)
+        self._add(list(_PUNCTUATION), *self._many(list(_PUNCTUATION)))
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4") for e in found]
 
-    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        missing = [p for p in pieces if p not in self.cache]
-        new = dict(zip(missing, self._whole(missing), strict=True)) if missing else {}
-        found = [new[p] if p in new else self.cache[p] for p in pieces]
-        for piece, ids in new.items():
-            if len(self.cache) >= CACHED_PIECES:
-                break
-            if len(piece) <= _LONGEST_CACHED:
-                self.cache[piece] = ids
-        return found
+    def _add(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Number new pieces, whose ids follow each other."""
+        first, end = len(self.starts) - 1, int(self.starts[-1])
+        if end + len(ids) > len(self.flat):
+            grown = np.zeros(2 * (end + len(ids)), dtype="<u4")
+            grown[:end] = self.flat[:end]
+            self.flat = grown
+        self.flat[end : end + len(ids)] = ids
+        self.starts = np.concatenate([self.starts, end + np.cumsum(lengths)])
+        self.numbers.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces in a row, and where each one's begin and end."""
+        starts = self.starts[numbers]
+        ends = np.concatenate([[0], np.cumsum(self.starts[numbers + 1] - starts)])
+        source = np.arange(ends[-1]) + np.repeat(starts - ends[:-1], np.diff(ends))
+        return self.flat[source], ends
+
+    def _many(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode pieces, many with one call; an empty piece or one with the mark is encoded alone."""
+        alone = [i for i, p in enumerate(pieces) if not p or self.mark in p]
+        texts = [pieces[i] for i in alone]
+        rest = [p for p in pieces if p and self.mark not in p] if alone else pieces
+        runs = [self.between.join(rest[a : a + _RUN]) for a in range(0, len(rest), _RUN)]
+        joined = [np.append(ids, self.mark_id) for ids in self._whole(runs)]
+        ids = np.concatenate([*joined, np.zeros(0)]).astype("<u4")
+        marks = ids == self.mark_id
+        lengths = np.diff(np.flatnonzero(marks), prepend=-1) - 1
+        ids = ids[~marks]
+        if alone:
+            own = self._whole(texts)
+            other = np.setdiff1d(np.arange(len(pieces)), alone)
+            parts = np.split(ids, np.cumsum(lengths)[:-1]) if len(other) else []
+            placed = dict(zip([*other.tolist(), *alone], [*parts, *own], strict=True))
+            found = [placed[i] for i in range(len(pieces))]
+            ids, lengths = np.concatenate(found), np.array([len(f) for f in found])
+        return ids, lengths
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The number of each piece; new ones are encoded. ``pieces`` are distinct."""
+        if len(self.numbers) > CACHED_PIECES or len(self.flat) > 8 * CACHED_PIECES:
+            self._forget()
+        numbers = self.numbers
+        missing = [p for p in pieces if p not in numbers]
+        if missing:
+            # A last punctuation mark behind a letter or digit is a piece of its own.
+            marked = [p for p in missing if len(p) > 1 and p[-1] in _PUNCTUATION and p[-2].isalnum()]
+            plain = set(missing).difference(marked)
+            stems = [p[:-1] for p in marked]
+            unknown = [p for p in dict.fromkeys([*plain, *stems]) if p not in numbers]
+            if unknown:
+                self._add(unknown, *self._many(unknown))
+            if marked:
+                both = np.array([n for p in marked for n in (numbers[p[:-1]], numbers[p[-1]])])
+                ids, ends = self._gather(both)
+                self._add(marked, ids, np.diff(ends[::2]))
+        return np.fromiter(map(numbers.__getitem__, pieces), dtype=np.int64, count=len(pieces))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the number of ids of each text; null counts as empty."""
@@ -83,29 +145,25 @@ class Encoder:
         borders = np.asarray(lists.offsets)
         flat = lists.values.slice(borders[0], borders[-1] - borders[0])
         borders = borders - borders[0]
+        if not len(flat):
+            return np.zeros(0, dtype="<u4"), np.diff(borders)
         coded = flat.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        if self.blanks and len(codes):
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        if self.blanks:
             # Behind a blank, unless first in the text or in its line; a line end stands for itself.
             first = np.zeros(len(codes), dtype=bool)
             first[borders[:-1][borders[:-1] < len(codes)]] = True
             line_end = codes == (words.index("\n") if "\n" in words else -1)
             first[1:] |= line_end[:-1]
             codes = codes * 2 + (first | line_end)
-            used, codes = np.unique(codes, return_inverse=True)
+            used = np.flatnonzero(np.bincount(codes, minlength=2 * len(words)))
+            place = np.zeros(2 * len(words), dtype=np.int64)
+            place[used] = np.arange(len(used))
+            codes = place[codes]
             words = [words[u >> 1] if u & 1 else " " + words[u >> 1] for u in used.tolist()]
-        found = self._pieces(words)
-        lengths = np.array([len(f) for f in found], dtype=np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)])
-        pool = np.concatenate([*found, np.zeros(0, dtype="<u4")])
-        each = lengths[codes] if len(codes) else np.zeros(0, dtype=np.int64)
-        ends = np.concatenate([[0], np.cumsum(each)])
-        if len(codes):
-            source = np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], each)
-        else:
-            source = np.zeros(0, np.int64)
-        return pool[source], np.diff(ends[borders])
+        ids, ends = self._gather(self._numbers(words)[codes])
+        return ids, np.diff(ends[borders])
 
 
 @lru_cache(maxsize=2)
