@@ -55,17 +55,22 @@ def _pairs(left: DataFrame, right: DataFrame, keep: Callable[[Column, Column], C
 
 
 def connect(
-    cells: DataFrame, keep: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]
+    cells: DataFrame, keep: Callable[[Column, Column], Column], measure: Callable[[DataFrame], DataFrame],
+    radius: float | None = None,
 ) -> DataFrame:
     """Connected groups over all linked pairs that share a cell; returns (node, component).
 
     ``cells`` has (cell, node, info); ``keep`` tells from two members' info whether they can link, and
-    ``verify`` returns the linked ones of pairs (a, b). Small cells are compared in full. In a larger
-    one, pivots are compared with all members; a pivot is then done with, and so is a cell whose
-    members are all connected. Pivots come from the members that are not in the cell's largest
-    group, so the pairs of a large group of copies are never listed, and no link between groups is lost.
+    ``measure`` returns pairs (a, b) with their ``distance`` and whether they are ``linked``. Small
+    cells are compared in full. In a larger one, pivots are compared with all members; a pivot is
+    then done with, and so is a cell whose members are all connected. Pivots come from the members
+    that are not in the cell's largest group, so the pairs of a large group of copies are never
+    listed, and no link between groups is lost.
+
+    With a ``radius``, the distance is a metric and links are the pairs at most that far apart. Then
+    the members of a larger cell are also dealt to the Voronoi regions of its pivots (``_regions``),
+    which become the next round's cells.
     """
-    spark = cells.sparkSession
     by_cell = Window.partitionBy("cell")
     active = stage(cells.select("cell", "node", "info").distinct(), "cells")
     links: list[DataFrame] = []
@@ -84,21 +89,58 @@ def connect(
         order = by_cell.orderBy("group_size", F.xxhash64("node"), "node")
         chosen = ranked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= pivots)
         chosen = stage(chosen.select("cell", "node", "info"), "pivots")
-        pairs = _pairs(small, small, keep, True).union(_pairs(chosen, large, keep, False)).distinct()
-        if groups is not None:
-            grouped = groups.select("node", "component")
-            pairs = (
-                pairs.join(grouped.select(F.col("node").alias("a"), F.col("component").alias("a_group")), "a", "left")
-                .join(grouped.select(F.col("node").alias("b"), F.col("component").alias("b_group")), "b", "left")
-                .filter(~F.coalesce(F.col("a_group") == F.col("b_group"), F.lit(False)))
-                .select("a", "b")
-            )
-        links.append(stage(verify(stage(pairs, "pairs")), "links"))
+        full = _open_pairs(_pairs(small, small, keep, True), groups)
+        to_pivots = _pairs(chosen, large, keep if radius is None else _any, False)
+        if radius is None:
+            to_pivots = _open_pairs(to_pivots, groups)
+        measured = stage(measure(stage(full.union(to_pivots).distinct(), "pairs")), "measured")
+        links.append(measured.filter("linked").select("a", "b"))
         groups = stage(components(reduce(DataFrame.union, links)), "groups")
         rest = large.select("cell", "node", "info").join(chosen.select("cell", "node"), ["cell", "node"], "left_anti")
+        if radius is not None:
+            rest = _regions(stage(rest, "rest"), chosen, measured, radius)
         rest = rest.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rest = stage(rest, "rest")
         open_cells = rest.groupBy("cell").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l < h")
         active = stage(rest.join(open_cells.select("cell"), "cell", "left_semi"), "cells")
         if active.isEmpty():
             return groups
         pivots *= 2
+
+
+def _any(a: Column, b: Column) -> Column:
+    return F.lit(True)
+
+
+def _open_pairs(pairs: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Distinct pairs that are not connected yet."""
+    pairs = pairs.distinct()
+    if groups is None:
+        return pairs
+    a = groups.select(F.col("node").alias("a"), F.col("component").alias("a_group"))
+    b = groups.select(F.col("node").alias("b"), F.col("component").alias("b_group"))
+    known = pairs.join(a, "a", "left").join(b, "b", "left")
+    return known.filter(~F.coalesce(F.col("a_group") == F.col("b_group"), F.lit(False))).select("a", "b")
+
+
+# A cell is split into regions only if its members make at most so many copies on average.
+MOST_COPIES = 1.5
+
+
+def _regions(rest: DataFrame, chosen: DataFrame, measured: DataFrame, radius: float) -> DataFrame:
+    """Members in the Voronoi regions of their cell's pivots, boundary members in several.
+
+    A member's home is its nearest pivot. If x and y are linked, y is at most ``radius`` further from
+    x's home than x, and at most ``radius`` nearer to its own home, so y differs by no more than twice
+    the radius between the two and has a copy in x's home region: every link meets there.
+    """
+    pivot = chosen.select("cell", F.col("node").alias("pivot"))
+    spokes = rest.join(pivot, "cell").withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot"))
+    spokes = spokes.join(measured.select("a", "b", "distance"), ["a", "b"])
+    nearest = F.min("distance").over(Window.partitionBy("cell", "node"))
+    copies = spokes.withColumn("nearest", nearest).filter(F.col("distance") - F.col("nearest") <= 2 * radius + 1e-9)
+    copies = stage(copies.select("cell", "node", "info", "pivot"), "copies")
+    split = copies.groupBy("cell").agg(F.count(F.lit(1)).alias("copies"), F.count_distinct("node").alias("members"))
+    split = split.filter(F.col("copies") <= MOST_COPIES * F.col("members")).select("cell")
+    dealt = copies.join(split, "cell", "left_semi").select(F.xxhash64("cell", "pivot").alias("cell"), "node", "info")
+    return rest.join(split, "cell", "left_anti").select("cell", "node", "info").union(dealt)

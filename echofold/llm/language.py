@@ -34,6 +34,11 @@ SAMPLE_BYTES = 4_000
 UNKNOWN = "und"
 # Bytes scored at a time.
 _STEP = 1 << 20
+# Working columns, named unlike a table's own.
+_TEXT, _LETTER = "_language_text", "_language_letter"
+# A text of at least so many bytes whose code is longer than this is none of the languages.
+LEAST_BYTES = 200
+MOST_BITS_PER_BYTE = 6.0
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -172,7 +177,7 @@ def _predict(batches: Iterator[pa.RecordBatch], sample_of, key: str) -> Iterator
     for batch in batches:
         if model is None:
             model = _model(key, sample_of.value)
-        texts = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"")
+        texts = pc.fill_null(batch.column(_TEXT).cast(pa.large_binary()), b"")
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         lengths = np.diff(offsets)
         data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
@@ -188,10 +193,10 @@ def _predict(batches: Iterator[pa.RecordBatch], sample_of, key: str) -> Iterator
         best = totals.argmin(axis=1)
         lowest = totals.min(axis=1)
         sure = 1 / np.exp2(np.maximum(lowest[:, None] - totals, -1000)).sum(axis=1)
-        letters = batch.column("has_letter").to_numpy(zero_copy_only=False).astype(bool)
+        letters = batch.column(_LETTER).to_numpy(zero_copy_only=False).astype(bool)
         names = np.array(model.languages, dtype=object)[best]
-        columns = [batch.column(n) for n in batch.schema.names if n not in ("text", "has_letter")]
-        schema = pa.schema([f for f in batch.schema if f.name not in ("text", "has_letter")] + list(_ADDED))
+        columns = [batch.column(n) for n in batch.schema.names if n not in (_TEXT, _LETTER)]
+        schema = pa.schema([f for f in batch.schema if f.name not in (_TEXT, _LETTER)] + list(_ADDED))
         yield pa.RecordBatch.from_arrays([
             *columns, pa.array(np.where(letters, names, UNKNOWN), pa.string()),
             pa.array(np.where(letters, sure, 0.0)), pa.array(lowest / np.maximum(lengths, 1)),
@@ -226,10 +231,25 @@ def identify(docs: DataFrame, keys: list[str], texts: dict[str, list[bytes]]) ->
     schema = kept.schema
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("bits_per_byte", "double")):
         schema = schema.add(name, kind)
-    rows = docs.select(*keys, "text", has_letter.alias("has_letter"))
+    rows = docs.select(*keys, F.col("text").alias(_TEXT), has_letter.alias(_LETTER))
     return rows.mapInArrow(partial(_predict, sample_of=shared, key=f"model-{shared._jbroadcast.id()}"), schema)
 
 
+def keep_known_languages(docs: DataFrame) -> DataFrame:
+    """Documents in one of the learned languages, with ``lang`` as predicted.
+
+    Rejected are texts that are null or have no letter, and longer ones that no language's statistics
+    can code in ``MOST_BITS_PER_BYTE`` bits a byte.
+    """
+    texts = sample(docs)
+    if not texts:
+        return docs
+    found = identify(docs, docs.columns, texts)
+    foreign = (F.octet_length("text") >= LEAST_BYTES) & (F.col("bits_per_byte") > MOST_BITS_PER_BYTE)
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & ~foreign).withColumn("lang", F.col("lang_pred"))
+    return kept.select(*docs.columns)
+
+
 def op2_language_id(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Predict every document's language from what the documents not held out teach."""
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")

@@ -32,9 +32,10 @@ _STEPS = (2_147_483_647, 2_147_483_629)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """One row per document: its id, source and number of words."""
+    """One row per document: its id, source, number of words and a hash of its text."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"))
+    source = F.col("source").cast("string").alias("source")
+    return docs.select("doc_id", source, words.alias("size"), F.xxhash64("text").alias("text_hash"))
 
 
 def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> DataFrame:
@@ -113,7 +114,11 @@ def mix(
     docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS,
     block_words: int = BLOCK_WORDS, seed: int = 0,
 ) -> DataFrame:
-    """Per document: size, its source's size and target, and the words of it that the mix takes."""
+    """Per document: size, its source's size and target, and the words of it that the mix takes.
+
+    ``every`` is how often the whole document is taken; ``at``, ``n_blocks``, ``step``, ``begin`` and
+    ``extra`` tell which of its blocks are taken once more.
+    """
     rows = stage(sizes(docs), "mix-sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = stage(
@@ -150,35 +155,61 @@ def mix(
     laid = Window.partitionBy(*shard).orderBy("draw", "doc_id", "size")
     before = laid.rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    return placed.join(quotas, shard).select(
-        "doc_id", "size", "source_size", "target", _taken(block_words, seed).alias("taken")
+    n_blocks = F.col("n_blocks")
+    step = F.when(n_blocks % _STEPS[0] == 0, F.lit(_STEPS[1])).otherwise(F.lit(_STEPS[0])) % n_blocks
+    begin = F.pmod(F.xxhash64("source_key", "shard", F.lit(seed)), n_blocks)
+    placed = placed.join(quotas, shard).select(
+        "doc_id", F.when(~F.col("no_source"), F.col("source_key")).alias("source"), "text_hash", "size",
+        "source_size", "target", "at", "n_blocks", step.alias("step"), begin.alias("begin"),
+        F.floor(F.col("quota") / n_blocks).alias("every"), (F.col("quota") % n_blocks).alias("extra"),
     )
+    return placed.withColumn("taken", _taken(block_words))
 
 
-def _taken(block_words: int, seed: int) -> Column:
-    """Words taken of a document that covers ``at`` to ``at + size`` of its shard.
+def _chosen(block: Column) -> Column:
+    """Whether a block of the shard is taken once more: its number, stepped through all, is below the rest."""
+    return (block * F.col("step") + F.col("begin")) % F.col("n_blocks") < F.col("extra")
 
-    All blocks count ``quota / n_blocks`` times, rounded down. The rest is given to the blocks whose
-    number, stepped seededly through all numbers, comes out below it.
-    """
-    step = F.when(F.col("n_blocks") % _STEPS[0] == 0, F.lit(_STEPS[1])).otherwise(F.lit(_STEPS[0]))
-    start = F.pmod(F.xxhash64("source_key", "shard", F.lit(seed)), F.col("n_blocks"))
-    extra = F.col("quota") % F.col("n_blocks")
+
+def _taken(block_words: int) -> Column:
+    """Words taken of a document that covers ``at`` to ``at + size`` of its shard."""
+    end = F.col("at") + F.col("size")
 
     def words(block: Column) -> Column:
-        inside = F.least((block + 1) * block_words, F.col("at") + F.col("size")) - F.greatest(
-            block * block_words, F.col("at")
-        )
-        chosen = (block * (step % F.col("n_blocks")) + start) % F.col("n_blocks") < extra
-        return F.when(chosen, inside).otherwise(F.lit(0))
+        inside = F.least((block + 1) * block_words, end) - F.greatest(block * block_words, F.col("at"))
+        return F.when(_chosen(block), inside).otherwise(F.lit(0))
 
     first = F.floor(F.col("at") / block_words)
-    last = F.floor((F.col("at") + F.col("size") - 1) / block_words)
+    last = F.floor((end - 1) / block_words)
     once_more = F.aggregate(F.sequence(first, last), F.lit(0).cast("bigint"), lambda a, b: a + words(b))
-    every = F.col("size") * F.floor(F.col("quota") / F.col("n_blocks"))
-    return F.when(F.col("size") == 0, F.lit(0)).otherwise(every + once_more).cast("bigint")
+    return F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("size") * F.col("every") + once_more).cast("bigint")
+
+
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, **options) -> DataFrame:
+    """The mix itself, in the columns of ``docs``: whole documents as often as they are taken whole, and
+    a row with the words of the blocks taken once more. Words keep the white space behind them, and
+    ``n_chars`` follows the text.
+    """
+    plan = mix(docs, block_words=block_words, **options).filter("taken > 0")
+    plan = plan.select(*[F.col(c).alias(f"_mix_{c}") if c in ("doc_id", "text_hash", "source", "size") else c
+                         for c in plan.columns if c not in ("source_size", "target", "taken")])
+    texts = docs.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "text"])
+    same = (
+        (F.col("_hash") == F.col("_mix_text_hash")) & F.col("doc_id").eqNullSafe(F.col("_mix_doc_id"))
+        & F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))
+    )
+    words = F.regexp_extract_all("text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), 1)
+    part = F.array_join(
+        F.filter(words, lambda w, i: _chosen(F.floor((F.col("at") + i) / block_words))), ""
+    )
+    whole = F.when(F.col("every") > 0, F.array_repeat("text", F.col("every").cast("int"))).otherwise(F.array())
+    rows = texts.join(plan, same).withColumn("text", F.explode(F.concat(whole, F.array(part))))
+    rows = rows.filter("text <> ''")
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
 
 
 def op10_source_mixing(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Mix all documents: 150% of all words, weights 5, 2, 1 repeating, no source above twice its size."""
-    return mix(docs)
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

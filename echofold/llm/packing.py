@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echofold.llm import tokens
+from echofold.llm.batches import steps
 from echofold.llm.tables import numbered, stage
 from echofold.llm.token_files import checksum
 
@@ -45,7 +46,7 @@ def cut_rows(
     """Encode documents and cut those above ``capacity``; the first piece takes the remainder."""
     encoder = tokens.encoder(path, True)
     for batch in batches:
-        for part in tokens.steps(batch, "text"):
+        for part in steps(batch, "text", tokens.STEP_BYTES):
             ids, counts = encoder.encode(part.column("text"))
             ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
             counts = counts + 1

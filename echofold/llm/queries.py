@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from echofold.llm.jaccard import op8_ngram_jaccard_join
 from echofold.llm.language import op2_language_id
 from echofold.llm.lines import op3_line_dedup
 from echofold.llm.mixing import op10_source_mixing
@@ -20,6 +21,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": _over("documents", op2_language_id),
     "op3_line_dedup": _over("documents", op3_line_dedup),
     "op5_token_files": _over("documents", op5_token_files),
+    "op8_ngram_jaccard_join": _over("documents", op8_ngram_jaccard_join),
     "op9_best_fit_packing": _over("documents", op9_best_fit_packing),
     "op10_source_mixing": _over("documents", op10_source_mixing),
 }

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+# Size of the bitmap that tells which rows are wanted.
+BITMAP_BITS = 1 << 24
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,6 +31,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only_wanted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` may be among ``wanted``, by a broadcast bitmap of at most 2 MB.
+
+    It keeps rows with long texts from being moved for nothing. The caller joins what is left; a
+    larger table only lets more rows through, never fewer.
+    """
+    spot = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
+    bits = wanted.select(spot.alias("_spot")).groupBy(F.bitmap_bucket_number("_spot").alias("_bucket"))
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bitmap"))
+    marked = rows.withColumn("_spot", spot).withColumn("_bucket", F.bitmap_bucket_number("_spot"))
+    place = F.bitmap_bit_position("_spot")
+    marked = marked.join(F.broadcast(bits), "_bucket").withColumn("_place", place.cast("int"))
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, _place div 8 + 1, 1)")), 16, 10).cast("int")
+    marked = marked.withColumn("_byte", byte)
+    return marked.filter(F.expr("shiftright(_byte, _place % 8) & 1 = 1")).select(*rows.columns)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str, row: str = "row_no") -> DataFrame:
     """Staged rows with their position from 0 in a global order.
 

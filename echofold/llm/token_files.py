@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echofold.llm import tokens
+from echofold.llm.batches import steps
 from echofold.llm.tables import numbered, shared_path, stage
 
 ROW_GROUP_BYTES = 16 << 20
@@ -42,7 +43,7 @@ def encode_rows(
 ) -> Iterator[pa.RecordBatch]:
     encoder = tokens.encoder(path, blanks)
     for batch in batches:
-        for part in tokens.steps(batch, "text"):
+        for part in steps(batch, "text", tokens.STEP_BYTES):
             ids, counts = encoder.encode(part.column("text"))
             with_end = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
             counts = counts + 1
