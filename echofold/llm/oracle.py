@@ -1,3 +1,34 @@
 """DuckDB counterparts of the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+OP6 = r"""
+WITH named AS (
+  SELECT conv_id, turn, coalesce(role, '') AS speaker, coalesce(text, '') AS text FROM conversations
+), turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, text) - 1 AS place FROM named
+), people AS (
+  SELECT DISTINCT conv_id, speaker AS participant FROM named WHERE speaker NOT IN ('', 'system')
+), seen AS (
+  SELECT t.*, p.participant, t.place // 512 AS chunk, t.speaker = p.participant AS own,
+    '<|im_start|>' || CASE WHEN t.speaker = p.participant THEN 'assistant' WHEN t.speaker = 'system' THEN 'system'
+      WHEN t.speaker = '' THEN 'user' ELSE 'user name=' || t.speaker END || chr(10) AS head
+  FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), sized AS (
+  SELECT *, length(head) + length(text) + length('<|im_end|>') + 1 AS size FROM seen
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id, participant, chunk ORDER BY place
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM sized
+), chunks AS (
+  SELECT conv_id, participant, chunk, count(*) AS n_turns, count(*) FILTER (own) AS n_own, sum(size) AS n_chars,
+    sha256(string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY place)) AS text_sha256,
+    coalesce(string_agg(CAST(CAST(begins + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begins + size AS BIGINT) AS VARCHAR), ','
+      ORDER BY place) FILTER (own), '') AS masks
+  FROM placed GROUP BY ALL
+)
+SELECT conv_id, participant, CAST(chunk AS BIGINT) AS chunk,
+  CAST(coalesce(sum(n_chars) OVER (PARTITION BY conv_id, participant ORDER BY chunk
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+  n_turns, n_own, CAST(n_chars AS BIGINT) AS n_chars, text_sha256, masks
+FROM chunks
+"""
+
+SQL: dict[str, str] = {"op6_perspective_rotation": OP6}
