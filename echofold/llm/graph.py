@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from echofold.llm.tables import stage
 
 # Cells up to this many members are compared in full at once.
-SMALL_CELL = 8
-# Members of a larger cell that are compared with all others in a round; doubled each round.
+SMALL_CELL = 16
+# Members of a larger cell that are compared with all others in a round, and their growth by round.
 FIRST_PIVOTS = 4
+MORE_PIVOTS = 4
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -56,17 +57,20 @@ def _pairs(left: DataFrame, right: DataFrame, keep: Callable[[Column, Column], C
 
 def connect(
     cells: DataFrame, keep: Callable[[Column, Column], Column], measure: Callable[[DataFrame], DataFrame],
-    radius: float | None = None,
+    radius: float | None = None, small_cell: int = SMALL_CELL, more_pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Connected groups over all linked pairs that share a cell; returns (node, component).
 
     ``cells`` has (cell, node, info); ``keep`` tells from two members' info whether they can link, and
-    ``measure`` returns pairs (a, b) with their ``distance`` and whether they are ``linked``. Small
+    ``measure`` returns pairs (a, b) with their ``distance`` and whether they are ``linked``; pairs that
+    cannot be may be left out. Small
     cells are compared in full. In a larger one, pivots are compared with all members; a pivot is
     then done with, and so is a cell whose members are all connected. Pivots come from the members
     that are not in the cell's largest group, so the pairs of a large group of copies are never
     listed, and no link between groups is lost.
 
+    ``more_pairs`` (a, b) are measured besides, in the first round.
+
     With a ``radius``, the distance is a metric and links are the pairs at most that far apart. Then
     the members of a larger cell are also dealt to the Voronoi regions of its pivots (``_regions``),
     which become the next round's cells.
@@ -79,8 +83,8 @@ def connect(
     while True:
         sizes = active.groupBy("cell").agg(F.count(F.lit(1)).alias("members"))
         sized = active.join(sizes, "cell")
-        small = sized.filter(F.col("members") <= SMALL_CELL)
-        large = sized.filter(F.col("members") > SMALL_CELL)
+        small = sized.filter(F.col("members") <= small_cell)
+        large = sized.filter(F.col("members") > small_cell)
         if groups is None:
             ranked = large.withColumn("group_size", F.lit(1))
         else:
@@ -93,7 +97,10 @@ def connect(
         to_pivots = _pairs(chosen, large, keep if radius is None else _any, False)
         if radius is None:
             to_pivots = _open_pairs(to_pivots, groups)
-        measured = stage(measure(stage(full.union(to_pivots).distinct(), "pairs")), "measured")
+        wanted = full.union(to_pivots)
+        if more_pairs is not None and groups is None:
+            wanted = wanted.union(more_pairs)
+        measured = stage(measure(stage(wanted.distinct(), "pairs")), "measured")
         links.append(measured.filter("linked").select("a", "b"))
         groups = stage(components(reduce(DataFrame.union, links)), "groups")
         rest = large.select("cell", "node", "info").join(chosen.select("cell", "node"), ["cell", "node"], "left_anti")
@@ -105,7 +112,7 @@ def connect(
         active = stage(rest.join(open_cells.select("cell"), "cell", "left_semi"), "cells")
         if active.isEmpty():
             return groups
-        pivots *= 2
+        pivots *= MORE_PIVOTS
 
 
 def _any(a: Column, b: Column) -> Column:
@@ -136,11 +143,14 @@ def _regions(rest: DataFrame, chosen: DataFrame, measured: DataFrame, radius: fl
     """
     pivot = chosen.select("cell", F.col("node").alias("pivot"))
     spokes = rest.join(pivot, "cell").withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot"))
-    spokes = spokes.join(measured.select("a", "b", "distance"), ["a", "b"])
+    # A distance that was not needed leaves its cell as it is.
+    spokes = spokes.join(measured.select("a", "b", "distance"), ["a", "b"], "left")
     nearest = F.min("distance").over(Window.partitionBy("cell", "node"))
-    copies = spokes.withColumn("nearest", nearest).filter(F.col("distance") - F.col("nearest") <= 2 * radius + 1e-9)
-    copies = stage(copies.select("cell", "node", "info", "pivot"), "copies")
-    split = copies.groupBy("cell").agg(F.count(F.lit(1)).alias("copies"), F.count_distinct("node").alias("members"))
+    spokes = spokes.withColumn("far", F.col("distance") - nearest > 2 * radius + 1e-9)
+    copies = stage(spokes.filter(~F.coalesce("far", F.lit(False))).select("cell", "node", "info", "pivot", "far"), "copies")
+    split = copies.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("copies"), F.count_distinct("node").alias("members"), F.count("far").alias("known")
+    ).filter("known = copies")
     split = split.filter(F.col("copies") <= MOST_COPIES * F.col("members")).select("cell")
     dealt = copies.join(split, "cell", "left_semi").select(F.xxhash64("cell", "pivot").alias("cell"), "node", "info")
     return rest.join(split, "cell", "left_anti").select("cell", "node", "info").union(dealt)

@@ -39,9 +39,11 @@ WORDS = 5
 # Similarity as whole hundredths.
 PERCENT = 75
 # Shingles in more regions' lists than this are put last in the order, the most frequent ones first ...
-FREQUENT = 16
+FREQUENT = 12
 # ... as far as this many, which bounds what is broadcast; further ones only make larger regions.
 MOST_FREQUENT = 1 << 18
+# Regions of one-shingle pivots with at most so many members are compared pair by pair.
+SMALL_REGION = 32
 _STEP_BYTES = 4 << 20
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                      0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -175,7 +177,14 @@ def join_groups(docs: DataFrame) -> DataFrame:
     nodes = named.select("node").filter("node is not null").distinct()
 
     found = _cells(texts, nodes)
-    groups = connect(_distinct_cells(found), _sizes_fit, _measure(texts, found), radius=1 - PERCENT / 100)
+    cells = stage(_distinct_cells(found), "distinct-cells")
+    large = cells.filter(F.col("members") > SMALL_REGION)
+    pairs = stage(_pairs_of_small_cells(cells.filter(F.col("members") <= SMALL_REGION), large), "near-pairs")
+    candidates = large.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    groups = connect(
+        large.select("cell", "node", "info"), _sizes_fit, _measure(texts, stage(candidates, "candidates"), found),
+        radius=1 - PERCENT / 100, more_pairs=pairs,
+    )
     return (
         sets.join(named, name, "left")
         .join(groups, "node", "left")
@@ -184,14 +193,39 @@ def join_groups(docs: DataFrame) -> DataFrame:
 
 
 def _distinct_cells(found: DataFrame) -> DataFrame:
-    """One of the cells that hold the same members: near copies share most of theirs."""
+    """One of the cells that hold the same members, as near copies share most of theirs, and how many these are."""
     members = found.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"),
         F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"),
     )
-    one = members.groupBy("n", "sum", "xor").agg(F.min("cell").alias("cell")).select("cell")
-    return found.select("cell", "node", "info").join(one, "cell", "left_semi")
+    one = members.groupBy("n", "sum", "xor").agg(F.min("cell").alias("cell"), F.count(F.lit(1)).alias("times"))
+    return found.join(one.select("cell", "times", F.col("n").alias("members")), "cell")
+
+
+def _enough(shared: Column, a: Column, b: Column) -> Column:
+    """Whether sets of sizes ``a`` and ``b`` that share so many of their first pivots can link."""
+    most = shared + F.ceil(F.greatest(a, b) * PERCENT / 100) - 1
+    return most >= F.ceil((a + b) * PERCENT / (100 + PERCENT))
+
+
+def _pairs_of_small_cells(small: DataFrame, large: DataFrame) -> DataFrame:
+    """Pairs of the members of small cells that can link, by the number of first pivots they share.
+
+    If two sets share c of their first pivots, whatever else they share lies behind the first pivots
+    of one of them, so the sets share at most c plus the longer such rest. Pivots of large cells are
+    not counted out; each is taken as shared.
+    """
+    unknown = large.groupBy("node").agg(F.sum("times").alias("unknown"))
+    members = small.join(unknown, "node", "left").withColumn("unknown", F.coalesce("unknown", F.lit(0)))
+    a = members.select("cell", "times", *[F.col(c).alias(f"a_{c}") for c in ("node", "info", "unknown")])
+    b = members.select("cell", *[F.col(c).alias(f"b_{c}") for c in ("node", "info", "unknown")])
+    met = a.join(b, "cell").filter((F.col("a_node") < F.col("b_node")) & _sizes_fit(F.col("a_info"), F.col("b_info")))
+    counted = met.groupBy("a_node", "b_node").agg(
+        F.sum("times").alias("shared"), *[F.first(c).alias(c) for c in ("a_info", "b_info", "a_unknown", "b_unknown")]
+    )
+    shared = F.col("shared") + F.least("a_unknown", "b_unknown")
+    return counted.filter(_enough(shared, F.col("a_info"), F.col("b_info"))).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -199,19 +233,27 @@ def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def _measure(texts: DataFrame, found: DataFrame):
-    """Exact distances of pairs; the sets of all candidates are worked out once."""
-    wanted = stage(found.select("node").distinct(), "candidates")
+def _measure(texts: DataFrame, wanted: DataFrame, found: DataFrame):
+    """Exact distances of the pairs that share enough of their first pivots.
+
+    The sets of all candidates (``wanted``: node) are worked out once.
+    """
     rows = texts.withColumnRenamed("doc_id", "node")
     chosen = only_wanted(rows, wanted, "node").join(wanted, "node", "left_semi")
     sets = stage(
         chosen.select(F.col("node").alias("doc_id"), "text").mapInArrow(_set_rows, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "shingles"
     )
+    firsts = found.join(wanted, "node", "left_semi").groupBy("node")
+    firsts = stage(firsts.agg(F.collect_list("cell").alias("firsts"), F.max("info").alias("n")), "first-pivots")
+    a_firsts, b_firsts = (firsts.select(*[F.col(c).alias(f"{side}_{c}") for c in firsts.columns]) for side in "ab")
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set"))
 
     def measure(pairs: DataFrame) -> DataFrame:
-        compared = pairs.join(a, "a").join(b, "b").select(
+        met = pairs.join(a_firsts, F.col("a") == F.col("a_node")).join(b_firsts, F.col("b") == F.col("b_node"))
+        shared = F.size(F.array_intersect("a_firsts", "b_firsts"))
+        near = met.filter(_enough(shared, F.col("a_n"), F.col("b_n"))).select("a", "b")
+        compared = stage(near, "near").join(a, "a").join(b, "b").select(
             "a", "b", F.size(F.array_intersect("a_set", "b_set")).alias("both"),
             (F.size("a_set") + F.size("b_set")).alias("sizes"),
         )
