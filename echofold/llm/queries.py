@@ -9,6 +9,7 @@ from echofold.llm.jaccard import op8_ngram_jaccard_join
 from echofold.llm.language import op2_language_id
 from echofold.llm.lines import op3_line_dedup
 from echofold.llm.mixing import op10_source_mixing
+from echofold.llm.neighbors import op7_nearest_neighbors
 from echofold.llm.packing import op9_best_fit_packing
 from echofold.llm.perspectives import op6_perspective_rotation
 from echofold.llm.tables import table
@@ -25,6 +26,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_document_fingerprints": _over("documents", op4_document_fingerprints),
     "op5_token_files": _over("documents", op5_token_files),
     "op6_perspective_rotation": _over("conversations", op6_perspective_rotation),
+    "op7_nearest_neighbors": _over("embeddings", op7_nearest_neighbors),
     "op8_ngram_jaccard_join": _over("documents", op8_ngram_jaccard_join),
     "op9_best_fit_packing": _over("documents", op9_best_fit_packing),
     "op10_source_mixing": _over("documents", op10_source_mixing),
