@@ -12,6 +12,7 @@ from echofold.llm.mixing import op10_source_mixing
 from echofold.llm.neighbors import op7_nearest_neighbors
 from echofold.llm.packing import op9_best_fit_packing
 from echofold.llm.perspectives import op6_perspective_rotation
+from echofold.llm.substrings import op1_suffix_array_dedup
 from echofold.llm.tables import table
 from echofold.llm.token_files import op5_token_files
 
@@ -21,6 +22,7 @@ def _over(name: str, operator: Callable[[SparkSession, DataFrame], DataFrame]):
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": _over("documents", op1_suffix_array_dedup),
     "op2_language_id": _over("documents", op2_language_id),
     "op3_line_dedup": _over("documents", op3_line_dedup),
     "op4_document_fingerprints": _over("documents", op4_document_fingerprints),
