@@ -114,23 +114,36 @@ def _draw(k: Column) -> Column:
 
 
 def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """One fingerprint (binary) per row of ``texts`` (keys, text) that has a word.
+    """Fingerprints (binary) of ``text`` and ``edited`` per row of ``texts`` (keys, text, edited) with a word in either.
 
-    No exchange is needed if the rows are dealt by one of the keys.
+    Terms that weigh the same in both texts draw once for both. No exchange is needed if the rows are
+    dealt by one of the keys.
     """
-    words = texts.select(*keys, F.explode(F.split(F.lower("text"), SPACE)).alias("word")).filter("word <> ''")
-    terms = words.select(*keys, F.xxhash64("word").alias("h")).groupBy(*keys, "h").agg(F.count(F.lit(1)).alias("w"))
-    rows = terms.select(
-        *keys, "h", F.log(F.col("w").cast("double")).alias("log_weight"),
+    both = texts.select(*keys, F.posexplode(F.array("text", "edited")).alias("edit", "text"))
+    words = both.select(*keys, "edit", F.explode(F.split(F.lower("text"), SPACE)).alias("word")).filter("word <> ''")
+    terms = words.select(*keys, "edit", F.xxhash64("word").alias("h")).groupBy(*keys, "h").agg(
+        F.sum(1 - F.col("edit")).alias("w0"), F.sum("edit").alias("w1")
+    )
+    weighed = terms.select(*keys, "h", "w0", "w1", F.explode(F.array_distinct(F.array("w0", "w1"))).alias("w")).filter("w > 0")
+    rows = weighed.select(
+        *keys, "h", (F.col("w") == F.col("w0")).alias("in0"), (F.col("w") == F.col("w1")).alias("in1"),
+        F.log(F.col("w").cast("double")).alias("log_weight"),
         F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // _PER_ROW - 1))).alias("g"),
     )
-    drawn = rows.select(*keys, "g", *[_draw(F.col("g") * _PER_ROW + i).alias(f"d{i}") for i in range(_PER_ROW)])
-    least = drawn.groupBy(*keys, "g").agg(*[F.min(f"d{i}").alias(f"d{i}") for i in range(_PER_ROW)])
+    drawn = rows.select(*keys, "in0", "in1", "g", *[_draw(F.col("g") * _PER_ROW + i).alias(f"d{i}") for i in range(_PER_ROW)])
+    least = drawn.groupBy(*keys, "g").agg(
+        *[F.min(F.when(F.col(f"in{e}"), F.col(f"d{i}"))).alias(f"d{e}{i}") for e in range(2) for i in range(_PER_ROW)]
+    )
     mask = F.lit((1 << _NAME_BITS) - 1)
-    names = F.concat(*[F.lpad(F.hex(F.col(f"d{i}").bitwiseAND(mask)), 2 * _BYTES, "0") for i in range(_PER_ROW)])
-    listed = F.array_sort(F.collect_list(F.struct("g", names.alias("n"))))
-    joined = F.array_join(F.transform(listed, lambda x: x["n"]), "")
-    return least.groupBy(*keys).agg(F.unhex(joined).alias("fingerprint"))
+
+    def whole(e: int) -> Column:
+        names = F.concat(*[F.lpad(F.hex(F.col(f"d{e}{i}").bitwiseAND(mask)), 2 * _BYTES, "0") for i in range(_PER_ROW)])
+        listed = F.array_sort(F.collect_list(F.when(names.isNotNull(), F.struct("g", names.alias("n")))))
+        # A text without words has no draws.
+        joined = F.array_join(F.transform(listed, lambda x: x["n"]), "")
+        return F.when(F.size(listed) > 0, F.unhex(joined))
+
+    return least.groupBy(*keys).agg(whole(0).alias("fingerprint"), whole(1).alias("edited_fingerprint"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -149,11 +162,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         *row, "doc_id", "next_range", "next_place", F.length("text").cast("bigint").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
     )
-    both = pairs.select(*row, F.posexplode(F.array("text", "edited")).alias("edit", "text"))
-    found = fingerprints(both, [*row, "edit"]).groupBy(*row).agg(
-        F.max(F.when(F.col("edit") == 0, F.col("fingerprint"))).alias("fingerprint"),
-        F.max(F.when(F.col("edit") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
-    )
+    found = fingerprints(pairs.select(*row, "text", "edited"), row)
     # Texts without words are alike.
     empty = F.lit(bytes(SAMPLES * _BYTES))
     rows = facts.join(found, row, "left").select(
