@@ -168,24 +168,29 @@ def repeated_windows(context: np.ndarray, near: np.ndarray, far: np.ndarray) ->
     """Least and largest distance of the repeated windows of each row; -1 where there is none.
 
     ``context`` has LENGTH bytes on either side of the anchors, and rows with equal grams are all here.
+    Equal windows have their anchors at equal places, so one distance at a time is compared, by a hash
+    that moves back a byte per distance: a row costs a few numbers, whatever its windows.
     """
     n = len(context)
-    sums = np.zeros((2 * LENGTH + 1, n), dtype=np.uint64)
-    for i in range(2 * LENGTH):
-        sums[i + 1] = sums[i] * _BASE + _BYTE_VALUES[context[:, i]]
-    power = np.uint64(pow(int(_BASE), LENGTH, 1 << 64))
-    count = far - near + 1
-    row = np.repeat(np.arange(n), count)
-    distance = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + near[row]
-    value = sums[2 * LENGTH - distance, row] - sums[LENGTH - distance, row] * power
-    order = np.argsort(value)
-    same = value[order[1:]] == value[order[:-1]]
-    again = np.zeros(len(value), dtype=bool)
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
     low, high = np.full(n, LENGTH), np.full(n, -1)
-    np.minimum.at(low, row[again], distance[again])
-    np.maximum.at(high, row[again], distance[again])
+    # Sum of value times base^i, i counting from the window's start.
+    value = np.zeros(n, dtype=np.uint64)
+    for i in range(LENGTH - 1, -1, -1):
+        value = value * _BASE + _BYTE_VALUES[context[:, LENGTH + i]]
+    power = np.uint64(pow(int(_BASE), LENGTH, 1 << 64))
+    for distance in range(int(far.max(initial=-1)) + 1):
+        if distance:
+            value = value * _BASE + _BYTE_VALUES[context[:, LENGTH - distance]]
+            value -= _BYTE_VALUES[context[:, 2 * LENGTH - distance]] * power
+        rows = np.flatnonzero((near <= distance) & (distance <= far))
+        rows = rows[np.argsort(value[rows], kind="stable")]
+        same = value[rows[1:]] == value[rows[:-1]]
+        again = np.zeros(len(rows), dtype=bool)
+        again[1:] = same
+        again[:-1] |= same
+        again = rows[again]
+        low[again] = np.minimum(low[again], distance)
+        high[again] = distance
     return low, high
 
 
