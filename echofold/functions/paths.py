@@ -7,8 +7,6 @@ Four styles are understood: drive (``C:\\a``), UNC (``\\\\srv\\share\\a``), POSI
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_NAME_CHARS = 260
-
 # A UNC root carries no trailing separator; the other roots keep theirs.
 _BACKSLASH_ROOT = r"[A-Za-z]:[\\/]|\\\\[^\\/]+[\\/][^\\/]+"
 _SLASH_ROOT = r"[A-Za-z][A-Za-z0-9+.\-]+:/(?:/[^/]*/?)?|/"
@@ -148,11 +146,6 @@ def leaf_name(path: str) -> Column:
     return F.expr(leaf_name_sql(path))
 
 
-def short_name(name: Column) -> Column:
-    """A name cut to the stored width."""
-    return F.substring(name, 1, MAX_NAME_CHARS)
-
-
 def normalize_drive(raw: str) -> Column:
     """Canonical root form: ``c``, ``C:`` and ``C:\\`` become ``C:\\``; other roots end in a separator."""
     text = f"trim({raw})"

@@ -157,7 +157,7 @@ def folder_rows(
     return rollup.join(found, "folder_id", "left").select(
         "scan_run_id",
         F.lit(S.FOLDER).alias("entry_type"),
-        paths.short_name(paths.leaf_name("full_path")).alias("file_name"),
+        paths.leaf_name("full_path").alias("file_name"),
         "full_path",
         "size_bytes",
         "date_modified_utc",

@@ -47,7 +47,7 @@ def cleanup_execute(store: Inventory, out: str, dry_run: bool = False) -> Cleanu
     plan = cleanup_plan(store.entries(), store.skips(), store.scans())
     files, skips = plan.counts.first()
     if dry_run or (files == 0 and skips == 0):
-        return CleanupResult(0, 0, written=False)
+        return CleanupResult(files, skips, written=False)
     target = Inventory(store.spark, out)
     target.create()
     for entry_type in (S.FILE, S.FOLDER):
@@ -69,7 +69,8 @@ def _literal(value: str) -> str:
 def _dropped(rows: DataFrame, keys: list[str], kept_runs: DataFrame) -> Iterator[tuple[str, int]]:
     """The partitions to drop, as specifications with their row counts; one row per partition."""
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    for row in retention.not_retained(counted, kept_runs).toLocalIterator():
+    # Written first: the table that it is counted from is about to change.
+    for row in stage(retention.not_retained(counted, kept_runs), "dropped-partitions").toLocalIterator():
         yield ", ".join(f"{key} = {_literal(row[key])}" for key in keys), row["n"]
 
 
@@ -90,6 +91,6 @@ def cleanup_tables(
             if not dry_run:
                 specs = ", ".join(f"partition ({spec})" for spec, _ in batch)
                 spark.sql(f"alter table {table} drop if exists {specs}")
-                total += sum(n for _, n in batch)
+            total += sum(n for _, n in batch)
         deleted.append(total)
-    return CleanupResult(*deleted, written=any(deleted))
+    return CleanupResult(*deleted, written=not dry_run and any(deleted))

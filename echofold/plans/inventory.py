@@ -39,7 +39,7 @@ def file_entries(files: DataFrame, batch: str, compute_hash: bool = True) -> Dat
         "date_modified_utc",
         "date_created_utc",
         (F.col("content_hash") if has_hash else F.lit(None)).cast("string").alias("content_hash"),
-        F.lit(None).cast("string").alias("scan_error"),
+        (F.col("scan_error") if "scan_error" in files.columns else F.lit(None)).cast("string").alias("scan_error"),
     )
 
 
@@ -53,6 +53,9 @@ def _run(
     opening = stage(
         run_log.opened(roots, batch, started, machine, options.compute_hash), "opened-runs"
     )
+    # A name used again would add the same files to the same run once more.
+    if not store.scan_events().join(opening.select("scan_run_id"), "scan_run_id", "left_semi").isEmpty():
+        raise ValueError(f"the run log already holds runs of batch {batch!r}; choose another name")
     store.write_events(opening)
 
     def close(status: str, error: str | None = None) -> None:

@@ -105,7 +105,7 @@ def yaml_lines(analysis: DuplicateAnalysis, min_wasted: int, generated_utc: date
     head = _block(
         F.lit("# Duplicate files and folders."),
         F.concat(
-            F.lit("# Every set below wastes at least "), text.format_bytes(floor),
+            F.lit("# Sets that waste less are left out: "), text.format_bytes(floor),
             F.lit(f" ({min_wasted} bytes)."),
         ),
         F.lit(""),

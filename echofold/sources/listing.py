@@ -44,7 +44,7 @@ def read_listing(spark: SparkSession, root: str) -> DataFrame:
     return _binary_files(spark, root).select(
         F.lit(root).alias("root"),
         F.col("path").alias("full_path"),
-        paths.short_name(paths.leaf_name("path")).alias("file_name"),
+        paths.leaf_name("path").alias("file_name"),
         F.col("length").alias("size_bytes"),
         _utc("modificationTime").alias("date_modified_utc"),
         F.lit(None).cast("timestamp_ntz").alias("date_created_utc"),
@@ -177,7 +177,7 @@ def listing_from_table(
     return table.select(
         (F.col(root) if root else paths.root_of(path)).alias("root"),
         F.col(path).alias("full_path"),
-        paths.short_name(paths.leaf_name(path)).alias("file_name"),
+        paths.leaf_name(path).alias("file_name"),
         length.alias("size_bytes"),
         timestamp(modified).alias("date_modified_utc"),
         timestamp(created).alias("date_created_utc"),

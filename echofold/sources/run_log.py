@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofold import schemas as S
+from echofold.functions import paths
 from echofold.sources.store import ntz
 
 
 def run_id(batch: str, root: str = "root") -> Column:
     """One run per root of a batch; the id follows from both, so retried jobs agree on it."""
-    return F.concat(F.lit(f"{batch}-"), F.substring(F.sha2(F.col(root), 256), 1, 12))
+    return F.concat(F.lit(f"{batch}-"), F.sha2(F.col(root), 256))
 
 
 def opened(roots: DataFrame, batch: str, at: datetime, machine: str, compute_hash: bool) -> DataFrame:
@@ -22,7 +23,7 @@ def opened(roots: DataFrame, batch: str, at: datetime, machine: str, compute_has
         ntz(at).alias("started_at_utc"),
         F.lit(S.RUNNING).alias("status"),
         F.lit(machine).alias("machine_name"),
-        F.col("root").alias("drive"),
+        paths.normalize_drive("root").alias("drive"),
         F.col("root").alias("roots"),
         F.lit(compute_hash).alias("compute_hash"),
     )

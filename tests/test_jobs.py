@@ -49,6 +49,17 @@ def test_inventory_of_real_files(store, drives):
     assert all(r.completed_at_utc >= r.started_at_utc for r in runs.values())
 
 
+def test_batch_names_are_used_once(spark, store, drives):
+    with pytest.raises(ValueError, match="already holds"):
+        inventory_of_roots(spark, store.base, "b1", drives)
+    assert store.entries().filter("entry_type = 'F'").count() == 6
+
+
+def test_roots_with_and_without_a_separator_are_one_drive(spark, store, drives):
+    inventory_of_roots(spark, store.base, "b2", [drives[0] + "/"])
+    assert top_duplicates(store.entries(), store.scans(), drives=drives[:1]).scans.count() == 1
+
+
 def test_top_duplicates_of_real_files(store):
     top = top_duplicates(store.entries(), store.scans(), n=5, k=1)
     assert [r.wasted_bytes for r in top.file_sets.orderBy(F.desc("wasted_bytes")).collect()] == [4, 2]

@@ -145,7 +145,7 @@ FROM (
 PARTS["folders"] = _folders("entries_files")
 PARTS["line_folders"] = _folders("line_files")
 PARTS["doc_folders"] = _folders(
-    "(SELECT *, 'batch-' || substr(sha256(drive), 1, 12) AS scan_run_id, raw_hash AS content_hash FROM inv_docs)"
+    "(SELECT *, 'batch-' || sha256(drive) AS scan_run_id, raw_hash AS content_hash FROM inv_docs)"
 )
 
 PARTS["latest"] = """
@@ -219,7 +219,7 @@ UNION ALL SELECT scan_run_id, 'D', file_name, full_path, size_bytes, date_modifi
   content_hash, NULL FROM folders"""
 
 PARTS["doc_entries"] = """
-SELECT 'batch-' || substr(sha256(drive), 1, 12) AS scan_run_id, 'F' AS entry_type, file_name, full_path,
+SELECT 'batch-' || sha256(drive) AS scan_run_id, 'F' AS entry_type, file_name, full_path,
   size_bytes, date_modified_utc, date_created_utc, raw_hash AS content_hash, CAST(NULL AS VARCHAR) AS scan_error
 FROM inv_docs"""
 
@@ -254,7 +254,7 @@ UNION ALL SELECT scan_run_id, 'D', file_name, full_path, size_bytes, date_modifi
 SQL["metadata_only_inventory"] = "SELECT * REPLACE (CAST(NULL AS VARCHAR) AS content_hash) FROM doc_entries"
 SQL["inventory_without_folders"] = "SELECT * FROM doc_entries"
 SQL["scan_log_latest"] = f"""
-SELECT 'batch-' || substr(sha256(drive), 1, 12) AS scan_run_id, TIMESTAMP '2024-01-01 00:00:00' AS started_at_utc,
+SELECT 'batch-' || sha256(drive) AS scan_run_id, TIMESTAMP '2024-01-01 00:00:00' AS started_at_utc,
   TIMESTAMP '2024-01-02 00:00:00' AS completed_at_utc, 'Completed' AS status, 'host' AS machine_name, drive,
   drive AS roots, true AS compute_hash,
   (SELECT count(*) FROM entries_files e WHERE {_root("e.full_path")} = drive) AS files_written,
@@ -389,7 +389,7 @@ def _line(section: str, line: str, where: str, wasted="NULL", content="NULL", si
 _NUMBER = "CASE r.section WHEN 'files' THEN 2 ELSE 3 END"
 SQL["report_yaml"] = "\nUNION ALL ".join([
     _line("0", "'# Duplicate files and folders.' || chr(10) || "
-          "'# Every set below wastes at least 1.95 KB (2000 bytes).' || chr(10) || chr(10) || "
+          "'# Sets that waste less are left out: 1.95 KB (2000 bytes).' || chr(10) || chr(10) || "
           "'generatedUtc: \"2024-02-01T12:30:45Z\"' || chr(10) || 'wastedSpaceThresholdBytes: 2000' || chr(10) || "
           "'totalWastedBytes: ' || (SELECT CAST(sum(wasted_bytes) AS BIGINT) FROM file_sets)", ""),
     _line("1", "'scans:'", ""),
