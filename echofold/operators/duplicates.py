@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from echofold.schemas import CONTENT_KEY
 
+# Parts in which the copies of one content are ranked on their own first.
+PATH_BUCKETS = 64
+
 
 def duplicate_sets(rows: DataFrame, min_wasted: int = 0) -> DataFrame:
     """Sets of two or more copies that waste at least ``min_wasted`` bytes.
@@ -56,15 +59,26 @@ def locations(rows: DataFrame, sets: DataFrame) -> DataFrame:
 def sample_locations(rows: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     """The first ``k`` copies of each set in path order; ``k`` <= 0 keeps them all.
 
-    The rank filter is applied before the shuffle too: each task passes on at most ``k`` rows a set.
-    (Spark does so up to ``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 by default.)
+    Copies are ranked twice. The first rank is within a content's path buckets and comes before the
+    join, so the copies of one very common content are dealt over many tasks, each of which passes on
+    at most ``k`` rows a bucket even before that shuffle; the join and the second rank see at most
+    ``PATH_BUCKETS * k`` rows of a content. (Spark cuts before a shuffle up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 by default.)
     """
-    found = locations(rows, sets)
     if k <= 0:
-        return found
+        return locations(rows, sets)
+    bucket = F.pmod(F.xxhash64("full_path"), F.lit(PATH_BUCKETS))
+    in_bucket = Window.partitionBy(*CONTENT_KEY, "bucket").orderBy("full_path")
+    first = (
+        rows.filter("content_hash is not null")
+        .select(*CONTENT_KEY, "full_path", bucket.alias("bucket"))
+        .withColumn("position", F.row_number().over(in_bucket))
+        .filter(F.col("position") <= k)
+    )
     by_path = Window.partitionBy(*CONTENT_KEY).orderBy("full_path")
     return (
-        found.withColumn("position", F.row_number().over(by_path).cast("long"))
+        locations(first, sets)
+        .withColumn("position", F.row_number().over(by_path).cast("long"))
         .filter(F.col("position") <= k)
     )
 

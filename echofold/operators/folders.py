@@ -1,16 +1,22 @@
 """Folder roll-ups and fingerprints.
 
 A folder stands for the multiset of the contents of all files beneath it, whatever their names and
-nesting. Its fingerprint is SHA-256 over the sorted 32-byte content hashes followed by their count
-as a little-endian 64-bit integer; a folder holding any file without a hash has none.
+nesting. Its fingerprint is the root of a tree over the hash space, the same tree for a folder of one
+file and for the root of a whole store:
 
-Files are first reduced to their own folder (one row per distinct content), and only those reduced
-rows are copied to the ancestors, so the fan-out is folders x depth rather than files x depth.
+- a leaf is SHA-256 over ``hash:copies,`` of the folder's contents whose hashes begin with the same
+  four hex digits, in hash order;
+- an inner node is SHA-256 over the leaves (in hex) that share their first two digits, in order;
+- the root is SHA-256 over the bytes of the inner nodes, in order, and the number of files as a
+  little-endian 64-bit integer.
+
+Equal multisets get equal fingerprints and different ones different fingerprints. A folder holding any
+file without a hash has none.
 
-SHA-256 is a sequential chain, so one folder's value can only be finished in one place. What goes
-there is bounded: up to ``SERIAL_FILES`` files it is the sorted hashes themselves, packed in parallel
-in slices; beyond that it is one digest per slice of the hash space. Equal multisets still get equal
-fingerprints and different ones different fingerprints, but those values are not the plain chain's.
+Files are first reduced to their own folder (one row per distinct content), and only those reduced
+rows are copied to the ancestors, so the fan-out is folders x depth rather than files x depth. Copies
+of a content are summed before anything is collected, so a leaf holds a common content once. A leaf
+holds one 65,536th of a folder's contents, an inner node and the root at most 256 digests.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -20,15 +26,9 @@ from echofold import schemas as S
 from echofold.functions import paths, text
 from echofold.staging import stage
 
-# Up to this many files a folder's hashes are sorted in one group.
-GROUP_FILES = 1 << 16
-# Up to this many files a folder gets the plain chain's value (64 hex digits a file in one row).
-SERIAL_FILES = 1 << 21
-
-# Leading hex digits that name a slice of the hash space: 256 slices of a folder hashed as one chain,
-# 65,536 slices of a larger one.
-_CHAIN_DIGITS = 2
-_DIGEST_DIGITS = 4
+# Leading hex digits of a hash that name its leaf and its inner node.
+LEAF_DIGITS = 4
+NODE_DIGITS = 2
 
 _FOLDER = ["scan_run_id", "folder"]
 
@@ -76,16 +76,10 @@ def _ordered_text(item: str, order: str, name: str) -> Column:
     return F.expr(f"listagg({item}, '') within group (order by {order}) as {name}")
 
 
-def fingerprints(
-    files: DataFrame,
-    rollup: DataFrame,
-    group_files: int = GROUP_FILES,
-    serial_files: int = SERIAL_FILES,
-) -> DataFrame:
-    """The fingerprint of every fully hashed folder, by the ``folder_id`` of a staged ``rollup``.
+def leaf_digests(files: DataFrame, rollup: DataFrame) -> DataFrame:
+    """The leaves of every fully hashed folder: folder_id, file_count, leaf and its digest.
 
-    A content kept several times travels once with its count. The copies are only written out where
-    a folder's chain is put together, and never in the digests of a larger folder.
+    Folders are told by the ``folder_id`` of a staged ``rollup``.
     """
     contents = (
         _with_folder(files.filter("content_hash is not null"))
@@ -99,61 +93,39 @@ def fingerprints(
     # an ancestor is kept: the rows that multiply with depth carry no path.
     own = rollup.filter("own_files > 0").select("scan_run_id", F.col("full_path").alias("folder"))
     lineage = paths.with_ancestors(own, "folder", "ancestor")
+    lineage = lineage.join(complete, ["scan_run_id", "ancestor"]).drop("ancestor")
+    return (
+        contents.join(lineage, _FOLDER)
+        .groupBy("folder_id", "file_count", "content_hash")
+        .agg(F.sum("copies").alias("copies"))
+        .groupBy("folder_id", "file_count", F.substring("content_hash", 1, LEAF_DIGITS).alias("leaf"))
+        .agg(_ordered_text("concat(content_hash, ':', copies, ',')", "content_hash", "counted"))
+        .select("folder_id", "file_count", "leaf", F.sha2("counted", 256).alias("digest"))
+    )
 
-    def beneath(size: Column) -> DataFrame:
-        """Contents of the folders of one size class."""
-        wanted = lineage.join(complete.filter(size), ["scan_run_id", "ancestor"]).drop("ancestor")
-        return contents.join(wanted, _FOLDER).select("folder_id", "file_count", "content_hash", "copies")
 
-    count = F.col("file_count")
-    chain = "repeat(content_hash, int(copies))"
-    ending = text.int64_le_hex(count)
+def fingerprints(files: DataFrame, rollup: DataFrame) -> DataFrame:
+    """The fingerprint of every fully hashed folder, by the ``folder_id`` of a staged ``rollup``."""
+    nodes = (
+        leaf_digests(files, rollup)
+        .groupBy("folder_id", "file_count", F.substring("leaf", 1, NODE_DIGITS).alias("node"))
+        .agg(_ordered_text("digest", "leaf", "leaves"))
+        .select("folder_id", "file_count", "node", F.sha2("leaves", 256).alias("digest"))
+    )
+    joined = nodes.groupBy("folder_id", "file_count").agg(_ordered_text("digest", "node", "hashes"))
+    ending = text.int64_le_hex(F.col("file_count"))
+    return joined.select("folder_id", _sha256_hex(F.concat("hashes", ending)).alias("content_hash"))
 
-    def slice_of(digits: int) -> Column:
-        return F.substring("content_hash", 1, digits).alias("slice")
 
-    small = (
-        beneath(count <= group_files)
-        .groupBy("folder_id", "file_count")
-        .agg(_ordered_text(chain, "content_hash", "hashes"))
-        .select("folder_id", _sha256_hex(F.concat("hashes", ending)).alias("content_hash"))
-    )
-    largest = rollup.agg(F.max("file_count")).first()[0] or 0
-    if largest <= group_files:
-        return small
-
-    pieces = (
-        beneath((count > group_files) & (count <= serial_files))
-        .groupBy("folder_id", "file_count", slice_of(_CHAIN_DIGITS))
-        .agg(_ordered_text(chain, "content_hash", "piece"))
-    )
-    if largest > serial_files:
-        # One content may sit in any number of folders here. Its copies are summed before anything
-        # is collected, so a slice holds it once, however common it is.
-        digested = (
-            beneath(count > serial_files)
-            .groupBy("folder_id", "file_count", "content_hash")
-            .agg(F.sum("copies").alias("copies"))
-            .groupBy("folder_id", "file_count", slice_of(_DIGEST_DIGITS))
-            .agg(_ordered_text("concat(content_hash, ':', copies, ',')", "content_hash", "counted"))
-            .select("folder_id", "file_count", "slice", F.sha2("counted", 256).alias("piece"))
-        )
-        pieces = pieces.unionByName(digested)
-    large = (
-        pieces.groupBy("folder_id", "file_count")
-        .agg(_ordered_text("piece", "slice", "hashes"))
-        .select("folder_id", _sha256_hex(F.concat("hashes", ending)).alias("content_hash"))
-    )
-    return small.unionByName(large)
+def numbered_rollup(files: DataFrame) -> DataFrame:
+    """The staged roll-up with a number for each folder."""
+    return stage(folder_rollup(files).withColumn("folder_id", F.monotonically_increasing_id()), "rollup")
 
 
-def folder_rows(
-    files: DataFrame, group_files: int = GROUP_FILES, serial_files: int = SERIAL_FILES
-) -> DataFrame:
+def folder_rows(files: DataFrame) -> DataFrame:
     """One row per run and folder, in the shape of an entry; the fingerprint is the content hash."""
-    numbered = folder_rollup(files).withColumn("folder_id", F.monotonically_increasing_id())
-    rollup = stage(numbered, "rollup")
-    found = fingerprints(files, rollup, group_files, serial_files)
+    rollup = numbered_rollup(files)
+    found = fingerprints(files, rollup)
     return rollup.join(found, "folder_id", "left").select(
         "scan_run_id",
         F.lit(S.FOLDER).alias("entry_type"),

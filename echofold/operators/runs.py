@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 from echofold import schemas as S
 from echofold.functions import paths, text
 
-MAX_LISTED_RUNS = 4096
-
 
 def eligible_runs(scans: DataFrame, drives: list[str] | None = None) -> DataFrame:
     """Completed runs with a known drive, optionally only those of the given canonical drives."""
@@ -52,13 +50,12 @@ def incomplete_runs(scans: DataFrame) -> DataFrame:
 def of_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """Rows of the given runs only.
 
-    ``scan_run_id`` is a partition column of a stored inventory. A list of run ids of checked length
-    becomes a literal filter, so other runs' files are not even listed; a longer one is joined.
+    ``scan_run_id`` is a partition column of a stored inventory, so the join prunes partitions at run
+    time: files of other runs are not read. Spark prunes by a side that has a filter; the comparison,
+    which every id passes, is one for lists that were staged.
     """
-    ids = [row[0] for row in runs.select("scan_run_id").limit(MAX_LISTED_RUNS + 1).collect()]
-    if len(ids) <= MAX_LISTED_RUNS:
-        return rows.filter(F.col("scan_run_id").isin(ids))
-    return rows.join(runs.select("scan_run_id"), "scan_run_id", "left_semi")
+    wanted = runs.select("scan_run_id").filter(F.col("scan_run_id") >= "")
+    return rows.join(wanted, "scan_run_id", "left_semi").select(*rows.columns)
 
 
 def current_entries(entries: DataFrame, runs: DataFrame, entry_type: str | None = None) -> DataFrame:

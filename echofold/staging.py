@@ -4,28 +4,22 @@ A staged table is Parquet in the shared folder named by ``spark.checkpoint.dir``
 executors that wrote it, cuts lineage, and gives later joins a real size to plan with.
 """
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root: str | None = None
-
 
 def staging_root(spark: SparkSession) -> str:
-    """The configured shared folder; a temporary one only for a session on this machine alone."""
-    global _local_root
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="echofold-")
-        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
-    return _local_root
+    """The shared folder the cluster names, else the session's warehouse, which is shared as well."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/echofold-staged"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all that this application staged; frames made from it cannot be read afterwards."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(f"{staging_root(spark)}/{context.applicationId}")
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -1,15 +1,30 @@
 import hashlib
 import struct
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from echofold.operators.folders import SERIAL_FILES, folder_rows
+from echofold.operators.folders import folder_rows
 from tests.trees import digest, files
 
 
+def tree_of(hashes):
+    """Leaves of four hex digits, inner nodes of two, and the root with the number of files."""
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    leaves = defaultdict(str)
+    for content, copies in sorted(Counter(hashes).items()):
+        leaves[content[:4]] += f"{content}:{copies},"
+    nodes = defaultdict(str)
+    for leaf, counted in sorted(leaves.items()):
+        nodes[leaf[:2]] += sha(counted)
+    joined = b"".join(bytes.fromhex(sha(nodes[node])) for node in sorted(nodes))
+    return hashlib.sha256(joined + struct.pack("<q", len(hashes))).hexdigest()
+
+
 def expected_fingerprints(rows):
     """Plain hashlib over each folder's descendants."""
     beneath = defaultdict(list)
@@ -23,13 +38,12 @@ def expected_fingerprints(rows):
             folder = folder.rsplit("/", 1)[0]
     found = {}
     for folder, hashes in beneath.items():
-        chain = None if None in hashes else b"".join(map(bytes.fromhex, sorted(hashes)))
-        found[folder] = chain and hashlib.sha256(chain + struct.pack("<q", len(hashes))).hexdigest()
+        found[folder] = None if None in hashes else tree_of(hashes)
     return found
 
 
-def fingerprints(frame, *limits):
-    return {r.full_path: r.content_hash for r in folder_rows(frame, *limits).collect()}
+def fingerprints(frame):
+    return {r.full_path: r.content_hash for r in folder_rows(frame).collect()}
 
 
 TREE = {
@@ -38,15 +52,24 @@ TREE = {
 }
 
 
-@pytest.mark.parametrize("limits", [(), (2, SERIAL_FILES), (1, SERIAL_FILES)])
-def test_fingerprints_match_hashlib_however_they_are_sliced(spark, limits):
-    frame = files(spark, TREE)
-    assert fingerprints(frame, *limits) == expected_fingerprints(frame.collect())
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_fingerprints_match_hashlib_however_rows_are_dealt(spark, parts):
+    frame = files(spark, TREE).repartition(int(parts))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert fingerprints(frame) == expected_fingerprints(frame.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_folder_of_many_leaves_matches_hashlib(spark):
+    frame = files(spark, {f"many/{i % 3}/{i}": f"h{i // 2}" for i in range(1_500)})
+    assert fingerprints(frame) == expected_fingerprints(frame.collect())
 
 
-@pytest.mark.parametrize("limits", [(), (2, SERIAL_FILES), (1, 2)])
-def test_names_and_nesting_do_not_matter_but_copies_do(spark, limits):
-    found = fingerprints(files(spark, {**TREE, "R/m": "h1", "R/n": "h1", "R/k": "h2"}), *limits)
+def test_names_and_nesting_do_not_matter_but_copies_do(spark):
+    found = fingerprints(files(spark, {**TREE, "R/m": "h1", "R/n": "h1", "R/k": "h2"}))
     assert found["s3://b/P"] == found["s3://b/Q"]
     assert found["s3://b/P"] != found["s3://b/R"]
 
@@ -62,7 +85,7 @@ def test_unhashed_file_taints_every_folder_above(spark):
 def test_runs_are_kept_apart(spark):
     both = files(spark, {"P/a": "h1"}, run="r1").unionAll(files(spark, {"P/a": "h2"}, run="r2"))
     rows = {(r.scan_run_id, r.full_path): r.content_hash for r in folder_rows(both).collect()}
-    one = hashlib.sha256(bytes.fromhex(digest("h1")) + struct.pack("<q", 1)).hexdigest()
+    one = tree_of([digest("h1")])
     assert rows["r1", "s3://b/P"] == one != rows["r2", "s3://b/P"]
 
 
@@ -79,4 +102,4 @@ def test_any_tree_matches_hashlib_in_any_row_order(spark, tree, random):
     paths = list(tree)
     random.shuffle(paths)
     frame = files(spark, {path: tree[path] for path in paths})
-    assert fingerprints(frame, 3, SERIAL_FILES) == expected_fingerprints(frame.collect())
+    assert fingerprints(frame) == expected_fingerprints(frame.collect())

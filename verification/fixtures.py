@@ -16,15 +16,11 @@ from echofold.sources.listing import listing_from_table
 from echofold.staging import stage
 
 LOCKED = "IOException: file locked"
-_LARGE = {"documents", "lineitem"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. A single file may be one row group, so its rows are spread over the cores."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in _LARGE and len(rows.inputFiles()) == 1:
-        return rows.repartition(spark.sparkContext.defaultParallelism)
-    return rows
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _minutes_after(start: str, minutes: str) -> Column:

@@ -128,18 +128,33 @@ SELECT 'e' || event_id AS scan_run_id,
 # Folders
 
 
+def _leaves(files: str) -> str:
+    """The leaves of every folder's fingerprint, whether all its files are hashed or not."""
+    return f"""
+SELECT scan_run_id, folder, substr(content_hash, 1, 4) AS leaf,
+  sha256(string_agg(content_hash || ':' || n || ',', '' ORDER BY content_hash)) AS digest
+FROM (SELECT scan_run_id, folder, content_hash, count(*) AS n
+      FROM (SELECT *, unnest({_ancestors("full_path")}) AS folder FROM {files})
+      WHERE content_hash IS NOT NULL GROUP BY ALL)
+GROUP BY ALL"""
+
+
 def _folders(files: str) -> str:
     return f"""
-SELECT scan_run_id, full_path, {_leaf("full_path")} AS file_name, file_count, hashed_count, own_files,
+SELECT r.scan_run_id, full_path, {_leaf("full_path")} AS file_name, file_count, hashed_count, own_files,
   size_bytes, date_modified_utc, date_created_utc,
   CASE WHEN file_count = hashed_count THEN sha256(unhex(hashes || {_le64("file_count")})) END AS content_hash
 FROM (
   SELECT scan_run_id, folder AS full_path, count(*) AS file_count, count(content_hash) AS hashed_count,
     CAST(count(*) FILTER (folder = parent) AS BIGINT) AS own_files, CAST(sum(size_bytes) AS BIGINT) AS size_bytes,
-    max(date_modified_utc) AS date_modified_utc, min(date_created_utc) AS date_created_utc,
-    string_agg(content_hash, '' ORDER BY content_hash) AS hashes
+    max(date_modified_utc) AS date_modified_utc, min(date_created_utc) AS date_created_utc
   FROM (SELECT *, {_parent("full_path")} AS parent, unnest({_ancestors("full_path")}) AS folder FROM {files})
-  GROUP BY scan_run_id, folder)"""
+  GROUP BY scan_run_id, folder) r
+LEFT JOIN (
+  SELECT scan_run_id, folder, string_agg(digest, '' ORDER BY node) AS hashes
+  FROM (SELECT scan_run_id, folder, substr(leaf, 1, 2) AS node, sha256(string_agg(digest, '' ORDER BY leaf)) AS digest
+        FROM ({_leaves(files)}) GROUP BY ALL)
+  GROUP BY ALL) h ON h.scan_run_id = r.scan_run_id AND h.folder = r.full_path"""
 
 
 PARTS["folders"] = _folders("entries_files")
@@ -320,19 +335,9 @@ FROM folders"""
 SQL["folder_fingerprints"] = "SELECT scan_run_id, full_path, file_name, size_bytes, content_hash FROM folders"
 SQL["folder_fingerprints_chained"] = "SELECT scan_run_id, full_path, content_hash FROM folders"
 SQL["folder_fingerprints_digested"] = f"""
-WITH copies AS (
-  SELECT scan_run_id, folder, content_hash, count(*) AS n
-  FROM (SELECT *, unnest({_ancestors("full_path")}) AS folder FROM entries_files) GROUP BY ALL),
-slices AS (
-  SELECT scan_run_id, folder, substr(content_hash, 1, 4) AS slice,
-    sha256(string_agg(content_hash || ':' || n || ',', '' ORDER BY content_hash)) AS digest
-  FROM copies GROUP BY ALL),
-digests AS (
-  SELECT scan_run_id, folder, string_agg(digest, '' ORDER BY slice) AS joined FROM slices GROUP BY ALL)
-SELECT f.scan_run_id, f.full_path, CASE WHEN f.file_count <> f.hashed_count THEN NULL
-  WHEN f.file_count <= 16 THEN f.content_hash
-  ELSE sha256(unhex(joined || {_le64("f.file_count")})) END AS content_hash
-FROM folders f JOIN digests d ON d.scan_run_id = f.scan_run_id AND d.folder = f.full_path"""
+SELECT c.scan_run_id, c.folder AS full_path, leaf, digest
+FROM ({_leaves("entries_files")}) c
+JOIN folders f ON f.scan_run_id = c.scan_run_id AND f.full_path = c.folder AND f.file_count = f.hashed_count"""
 SQL["lineitem_folder_fingerprints"] = "SELECT full_path, size_bytes, content_hash FROM line_folders"
 SQL["dup_folder_candidates"] = "SELECT * FROM cand"
 SQL["independent_folders"] = "SELECT * FROM indep"

@@ -266,22 +266,20 @@ def folder_fingerprints(spark, sf_dir):
     )
 
 
-def _sliced(spark, sf_dir, group_files, serial_files):
-    files = X.stored_files(spark, sf_dir)
-    rows = FO.folder_rows(files, group_files, serial_files)
-    return rows.select("scan_run_id", "full_path", "content_hash")
-
-
 @query
 def folder_fingerprints_chained(spark, sf_dir):
-    """Folders of more than four files packed in slices: the values stay the same."""
-    return _sliced(spark, sf_dir, 4, FO.SERIAL_FILES)
+    """Fingerprints of rows dealt in another way: the values stay the same."""
+    files = X.stored_files(spark, sf_dir).repartition(5, "file_name")
+    return FO.folder_rows(files).select("scan_run_id", "full_path", "content_hash")
 
 
 @query
 def folder_fingerprints_digested(spark, sf_dir):
-    """Folders of more than sixteen files fingerprinted from one digest per slice."""
-    return _sliced(spark, sf_dir, 4, 16)
+    """The leaves that fingerprints are made of."""
+    files = X.stored_files(spark, sf_dir)
+    rollup = FO.numbered_rollup(files)
+    leaves = FO.leaf_digests(files, rollup).drop("file_count")
+    return leaves.join(rollup, "folder_id").select("scan_run_id", "full_path", "leaf", "digest")
 
 
 @query
