@@ -2,7 +2,7 @@
 
 import socket
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ class InventoryOptions:
     # Store the listing before hashing starts, so an interrupted run leaves it behind.
     durable_metadata: bool = False
     recreate: bool = False
+    follow_links: bool = False
 
 
 def file_entries(files: DataFrame, batch: str, compute_hash: bool = True) -> DataFrame:
@@ -97,13 +98,12 @@ def inventory_of_roots(
 ) -> Inventory:
     """Inventory every file beneath the given storage roots, one run per root."""
     store = Inventory(spark, base)
-    found = L.read_listings(spark, roots)
-    # Listed once: what happens to a file later shows as its error, not as a missing row.
-    listings = replace(found, files=stage(found.files, "listing"))
+    # Each level was stored: what happens to a file later shows as its error, not as a missing row.
+    found = L.read_listings(spark, roots, options.follow_links)
     root_rows = spark.createDataFrame([(root,) for root in roots], "root string")
     _run(
-        store, batch, root_rows, listings.files,
-        lambda: L.hash_results(listings, options.max_hash_bytes), listings.skips, options,
+        store, batch, root_rows, found.files,
+        lambda: L.hash_results(found.files, options.max_hash_bytes), found.skips, options,
     )
     return store
 

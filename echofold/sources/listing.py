@@ -4,74 +4,70 @@ A listing has the columns ``root, full_path, file_name, size_bytes, date_modifie
 date_created_utc``; a listing made from a table also has ``content_hash``.
 """
 
-import hashlib
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
-import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echofold.functions import paths, text
+from echofold.sources import storage
 from echofold.staging import stage
 
-# Larger files are hashed as a stream instead of being loaded as one value.
-WHOLE_FILE_BYTES = 256 << 20
-_STREAM_BUFFER = 1 << 20
-_STREAMS_PER_CORE = 2
+_TASKS_PER_CORE = 2
+# Bytes that one task hashes, about.
+_TASK_BYTES = 1 << 30
 
-LISTING = "root string, full_path string, file_name string, size_bytes bigint, " \
-    "date_modified_utc timestamp_ntz, date_created_utc timestamp_ntz"
 SKIPPED = "root string, full_path string, reason string"
-HASH_RESULTS = "root string, full_path string, content_hash string, error string"
 
 
-def _utc(ts: str) -> Column:
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(ts).cast("timestamp_ntz"))
+def _tasks(spark: SparkSession) -> int:
+    return _TASKS_PER_CORE * spark.sparkContext.defaultParallelism
 
 
-def _binary_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files as rows; one that vanishes or cannot be read is left out instead of failing the job."""
-    tolerant = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return reader.options(**tolerant).load(root)
+def walk(spark: SparkSession, roots: list[str], follow_links: bool = False) -> DataFrame:
+    """Everything beneath the roots: files, folders, links, and folders that could not be listed.
 
-
-def read_listing(spark: SparkSession, root: str) -> DataFrame:
-    """Every file beneath a root. Contents are not read: the column is never selected."""
-    return _binary_files(spark, root).select(
-        F.lit(root).alias("root"),
-        F.col("path").alias("full_path"),
-        paths.leaf_name("path").alias("file_name"),
-        F.col("length").alias("size_bytes"),
-        _utc("modificationTime").alias("date_modified_utc"),
-        F.lit(None).cast("timestamp_ntz").alias("date_created_utc"),
-    )
+    One pass per depth: the folders of a level are dealt over the tasks, and what each task finds is
+    stored, so neither the driver nor a task ever holds a listing. Roots are kept apart: overlapping
+    ones list a shared file once each.
+    """
+    level = spark.createDataFrame([(root, storage.full_form(root)) for root in roots], "root string, full_path string")
+    list_level = partial(storage.list_folders, follow_links=follow_links)
+    found = []
+    while True:
+        # A fixed number of tasks keeps adaptive execution from packing slow, tiny rows into one.
+        dealt = level.repartition(_tasks(spark), "root", "full_path")
+        found.append(stage(dealt.mapInPandas(list_level, storage.LISTED), "listed-level"))
+        below = found[-1].filter("is_dir and list_error is null")
+        level = (below if follow_links else below.filter("not is_link")).select("root", "full_path")
+        if level.isEmpty():
+            return reduce(DataFrame.unionAll, found)
 
 
 @dataclass(frozen=True)
 class RootListings:
-    """The files of several roots, the roots that were listed, and those that could not be."""
+    """The files of several roots, and the folders that could not be listed, roots included."""
 
     files: DataFrame
-    roots: list[str]
     skips: DataFrame
 
 
-def read_listings(spark: SparkSession, roots: list[str]) -> RootListings:
-    """List several roots. They are kept apart: overlapping ones list a shared file once each."""
-    found, listed, skipped = [], [], []
-    for root in roots:
-        try:
-            found.append(read_listing(spark, root))
-            listed.append(root)
-        except AnalysisException as error:
-            reason = f"{type(error).__name__}: {str(error).splitlines()[0]}"
-            skipped.append((root, root, reason))
-    files = reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], LISTING)
-    return RootListings(files, listed, spark.createDataFrame(skipped, SKIPPED))
+def read_listings(spark: SparkSession, roots: list[str], follow_links: bool = False) -> RootListings:
+    """Files beneath the roots, whatever their names. Links are left out unless they are followed."""
+    listed, skips = split_skips(walk(spark, roots, follow_links))
+    # Folders behind links were not entered, so what is left to drop are links to files.
+    files = listed.filter("not is_dir" if follow_links else "not is_dir and not is_link")
+    files = files.select(
+        "root", "full_path", paths.leaf_name("full_path").alias("file_name"), "size_bytes", "date_modified_utc",
+        F.lit(None).cast("timestamp_ntz").alias("date_created_utc"),
+    )
+    return RootListings(files, skips)
+
+
+def read_listing(spark: SparkSession, root: str) -> DataFrame:
+    """Every file beneath a root."""
+    return read_listings(spark, [root]).files
 
 
 def within_limit(size: Column, max_hash_bytes: int) -> Column:
@@ -85,71 +81,13 @@ def content_hash(content: Column, size: Column, max_hash_bytes: int = 0) -> Colu
     return F.when(within_limit(size, max_hash_bytes), digest) if max_hash_bytes > 0 else digest
 
 
-def _open_stream(path: str):
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        return open("/" + path.removeprefix("file:").lstrip("/"), "rb", buffering=_STREAM_BUFFER)
-    filesystem, name = fs.FileSystem.from_uri(path)
-    return filesystem.open_input_stream(name, buffer_size=_STREAM_BUFFER)
-
-
-def _hash_stream(path: str) -> tuple[str | None, str | None]:
-    try:
-        digest = hashlib.sha256()
-        with _open_stream(path) as stream:
-            while block := stream.read(_STREAM_BUFFER):
-                digest.update(block)
-        return digest.hexdigest(), None
-    except Exception as error:
-        return None, f"{type(error).__name__}: {error}"
-
-
-def _hash_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        results = [_hash_stream(path) for path in batch["full_path"]]
-        yield batch[["root", "full_path"]].assign(
-            content_hash=[digest for digest, _ in results], error=[error for _, error in results]
-        )
-
-
-def hash_as_streams(files: DataFrame) -> DataFrame:
-    """Hash each file block by block; a file that cannot be read yields its error instead."""
-    return files.select("root", "full_path").mapInPandas(_hash_batches, HASH_RESULTS)
-
-
-def hash_whole_files(spark: SparkSession, root: str, largest: int) -> DataFrame:
-    """Hash files up to ``largest`` bytes; the size test is pushed into the scan."""
-    files = _binary_files(spark, root)
-    return files.filter(F.col("length") <= largest).select(
-        F.lit(root).alias("root"),
-        F.col("path").alias("full_path"),
-        F.sha2("content", 256).alias("content_hash"),
-        F.lit(None).cast("string").alias("error"),
-    )
-
-
-def hash_results(
-    listings: RootListings, max_hash_bytes: int = 0, whole_file_bytes: int = WHOLE_FILE_BYTES
-) -> DataFrame:
-    """A hash or an error for every listed file within the size limit.
-
-    Common sizes are read as values inside the JVM. Larger files, and those that could not be read
-    that way, are hashed as streams, which records why one fails.
-    """
-    files = listings.files
-    spark = files.sparkSession
-    if not listings.roots:
-        return spark.createDataFrame([], HASH_RESULTS)
-    largest = min(whole_file_bytes, max_hash_bytes) if max_hash_bytes > 0 else whole_file_bytes
-    passes = [hash_whole_files(spark, root, largest) for root in listings.roots]
-    whole = stage(reduce(DataFrame.unionAll, passes), "hashes")
+def hash_results(files: DataFrame, max_hash_bytes: int = 0) -> DataFrame:
+    """A hash or an error for every listed file within the size limit, block by block at any size."""
     wanted = files.filter(within_limit(F.col("size_bytes"), max_hash_bytes))
-    rest = wanted.join(whole, ["root", "full_path"], "left_anti")
-    # These rows are tiny but slow to work on. A fixed partition count keeps adaptive execution from
-    # packing them into one task.
-    spread = rest.repartition(_STREAMS_PER_CORE * spark.sparkContext.defaultParallelism)
-    return whole.unionByName(hash_as_streams(spread))
+    total = wanted.agg(F.sum("size_bytes")).first()[0] or 0
+    tasks = max(_tasks(files.sparkSession), total // _TASK_BYTES)
+    dealt = wanted.select("root", "full_path").repartition(tasks, "root", "full_path")
+    return dealt.mapInPandas(storage.hash_files, storage.HASH_RESULTS)
 
 
 def listing_from_table(

@@ -1,8 +1,8 @@
 import hashlib
 import json
-from dataclasses import replace
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from echofold.plans.inventory import InventoryOptions, inventory_of_listing, inv
 from echofold.plans.pipeline import ChainOptions, after_inventory
 from echofold.plans.report import in_report_order, write_report, yaml_lines
 from echofold.sources import listing as L
+from echofold.sources import storage
 from echofold.sources.store import Inventory, utc_now
 from echofold.staging import stage
 
@@ -172,7 +173,7 @@ def test_missing_root_is_skipped(spark, drives, tmp_path):
     roots = [drives[0], str(tmp_path / "absent")]
     found = inventory_of_roots(spark, str(tmp_path / "i"), "b", roots)
     assert found.skips().select("full_path").collect() == [(roots[1],)]
-    assert found.skips().first().reason.startswith("AnalysisException: ")
+    assert found.skips().first().reason.startswith("FileNotFoundError: ")
     assert {r.files_written for r in found.scans().collect()} == {3, 0}
 
 
@@ -193,18 +194,58 @@ def test_interrupted_runs_are_logged(spark, drives, tmp_path, monkeypatch, raise
         top_duplicates(found.entries(), found.scans())
 
 
-def test_large_and_unreadable_files_are_streamed(spark, drives):
-    listings = L.read_listings(spark, drives)
-    whole = {r.full_path: r.content_hash for r in L.hash_results(listings).collect()}
-    streamed = {r.full_path: r.content_hash for r in L.hash_results(listings, whole_file_bytes=1).collect()}
-    assert whole == streamed and len(whole) == 6
-    listings = replace(listings, files=stage(listings.files, "listing"))
+def test_files_that_vanish_have_an_error(spark, drives):
+    listing = L.read_listings(spark, drives).files
+    hashes = {r.full_path: r.content_hash for r in L.hash_results(listing).collect()}
+    assert len(hashes) == 6
+    assert hashes[f"file:{drives[0]}/note.txt"] == hashlib.sha256(b"n").hexdigest()
     Path(drives[0], "note.txt").unlink()
-    gone = [r for r in L.hash_results(listings).collect() if r.full_path.endswith("note.txt")]
+    gone = [r for r in L.hash_results(listing).collect() if r.full_path.endswith("note.txt")]
     assert len(gone) == 1 and gone[0].content_hash is None
     assert gone[0].error.startswith("FileNotFoundError: ")
 
 
+def test_names_links_and_unreadable_folders(spark, tmp_path):
+    root = tmp_path / "top"
+    for name in ["a.txt", ".hidden", "_under", ".git/config", "_delta_log/0 #%20.json", "sub/c.txt"]:
+        Path(root, name).parent.mkdir(parents=True, exist_ok=True)
+        Path(root, name).write_text(name)
+    Path(root, "link.txt").symlink_to(root / "a.txt")
+    Path(root, "linked").symlink_to(root / "sub")
+    Path(root, "loop").symlink_to(root)
+    plain = {"a.txt", ".hidden", "_under", ".git/config", "_delta_log/0 #%20.json", "sub/c.txt"}
+
+    def names(follow_links):
+        found = L.read_listings(spark, [str(root)], follow_links).files.collect()
+        return {r.full_path.removeprefix(f"file:{root}/") for r in found}
+
+    assert names(False) == plain
+    assert names(True) - {"loop"} == plain | {"link.txt", "linked/c.txt"}
+    hashed = L.hash_results(L.read_listing(spark, str(root))).collect()
+    assert len(hashed) == 6 and not any(r.error for r in hashed)
+
+
+def test_a_folder_that_cannot_be_listed_is_one_row(monkeypatch):
+    def denied(folder, follow_links):
+        if folder.endswith("secret"):
+            raise PermissionError("denied")
+        yield f"{folder}/f", False, False, 1, None
+
+    monkeypatch.setattr(storage, "_children", denied)
+    folders = pd.DataFrame({"root": ["r", "r"], "full_path": ["r/open", "r/secret"]})
+    rows = pd.concat(storage.list_folders([folders], False))
+    assert rows["full_path"].tolist() == ["r/open/f", "r/secret"]
+    assert rows["list_error_type"].tolist() == [None, "PermissionError"]
+
+
+def test_paths_of_stores():
+    assert storage.place_of("s3a://b/k e%y#1") == ("s3:", "b/k e%y#1")
+    assert storage.place_of("hdfs://nn:8020/a b") == ("hdfs://nn:8020/", "/a b")
+    assert storage.local_name("dbfs:/x/y") == "/dbfs/x/y"
+    assert storage.local_name("file:/x #%20") == "/x #%20"
+    assert storage.local_name("s3a://b/k") is None
+
+
 def test_whole_chain(spark, store, tmp_path):
     options = ChainOptions(
         report_to=str(tmp_path / "reports"), report_threshold_bytes=0, cleanup_to=str(tmp_path / "clean")

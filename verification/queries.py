@@ -60,7 +60,7 @@ def hash_files_limited(spark, sf_dir):
 
 @query
 def file_listing(spark, sf_dir):
-    """The given table files themselves, listed as binary files."""
+    """The given table files themselves, listed."""
     return L.read_listing(spark, sf_dir).select("file_name", "size_bytes")
 
 
@@ -74,8 +74,8 @@ def multi_root_listing(spark, sf_dir):
 
 @query
 def file_hashes(spark, sf_dir):
-    """The given table files hashed: most as values, the larger ones as streams."""
-    return L.hash_results(L.read_listings(spark, [sf_dir]), whole_file_bytes=100_000)
+    """The given table files hashed block by block."""
+    return L.hash_results(L.read_listing(spark, sf_dir))
 
 
 @query
