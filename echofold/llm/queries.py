@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from echofold.llm.alignment import op11_cross_tokenizer_alignment
 from echofold.llm.fingerprints import op4_document_fingerprints
 from echofold.llm.jaccard import op8_ngram_jaccard_join
 from echofold.llm.language import op2_language_id
@@ -12,6 +13,8 @@ from echofold.llm.mixing import op10_source_mixing
 from echofold.llm.neighbors import op7_nearest_neighbors
 from echofold.llm.packing import op9_best_fit_packing
 from echofold.llm.perspectives import op6_perspective_rotation
+from echofold.llm.resampling import op12_importance_resampling
+from echofold.llm.simhash import op13_simhash_near_dedup
 from echofold.llm.substrings import op1_suffix_array_dedup
 from echofold.llm.tables import table
 from echofold.llm.token_files import op5_token_files
@@ -32,4 +35,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": _over("documents", op8_ngram_jaccard_join),
     "op9_best_fit_packing": _over("documents", op9_best_fit_packing),
     "op10_source_mixing": _over("documents", op10_source_mixing),
+    "op11_cross_tokenizer_alignment": _over("documents", op11_cross_tokenizer_alignment),
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_simhash_near_dedup": _over("documents", op13_simhash_near_dedup),
 }
