@@ -23,7 +23,10 @@ whose tokens do not give back the text have no tokens: zeros and an empty digest
 other columns are ignored.
 """
 
+from __future__ import annotations
+
 import hashlib
+import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
@@ -47,8 +50,10 @@ BUCKET_PAIRS = 4
 FAN_IN = 128
 VECTOR_PAIRS = 1 << 18
 # Units a worker keeps, and pairs a task holds before it passes their counts on.
-KEPT_UNITS = 300_000
+KEPT_UNITS = 400_000
 HELD_PAIRS = 1 << 21
+# Units encoded by one call.
+_RUN = 1_000
 # Longer texts are aligned in slices of about so many characters.
 SLICE_CHARS = 1 << 20
 
@@ -63,6 +68,8 @@ _SPACE = "\\s\u180e\u200b"
 _BORDER = re.compile(
     rf"(?<=[^{_SPACE}])(?= [^{_SPACE}])|(?<=[^{_SPACE}])(?=\n[^{_SPACE}])|(?<=[^{_SPACE}]\n)(?=[^{_SPACE}])"
 )
+# Units that can be encoded as a line of a text.
+_PLAIN = re.compile(rf" ?[^{_SPACE}](?:[^\n]*[^{_SPACE}])?")
 # Texts in which one does not stand alone; the white space written out, as Arrow knows only that of ASCII.
 _WIDE = (
     r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -146,14 +153,68 @@ def places(keys: np.ndarray, pilots: np.ndarray, n: int) -> np.ndarray:
 # --- units ---
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """The character that stands for each byte in byte-level vocabularies.
+# Fixed values of byte-level vocabularies: how texts are split before any merge, and the bytes that stand
+# for themselves; the others are written as the characters from 256 on, in order.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
 
-    Printable ones stand for themselves, the others for characters from 256 on, in order.
+def _byte_level(path: str):
+    """An encoder of a byte-level vocabulary file, and the bytes of every id.
+
+    Merges are numbered in their order of use, so the ids serve as ranks. Special tokens are no entries:
+    their strings are plain text.
     """
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in printable]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    others = sorted(set(range(256)).difference(_PRINTABLE))
+    alphabet = {chr(b): b for b in _PRINTABLE} | {chr(256 + i): b for i, b in enumerate(others)}
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ranks = [model["vocab"][m] for m in merges]
+    if any(x >= y for x, y in zip(ranks, ranks[1:], strict=False)):
+        raise ValueError(f"the ids of {path} are not in the order of its merges")
+    by_id = {i: bytes(alphabet[c] for c in entry) for entry, i in model["vocab"].items() if set(entry) <= set(alphabet)}
+    used = set(ranks)
+    entries = {b: i for i, b in by_id.items() if len(b) == 1 or i in used}
+    encoder = tiktoken.Encoding("byte-level", pat_str=_SPLIT, mergeable_ranks=entries, special_tokens={})
+    return encoder, [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+
+
+class _Tokens:
+    """The ids of several units in a row, how many each has, and where they end."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        self.ids, self.counts, self.ends = ids, counts, np.cumsum(counts)
+
+    @classmethod
+    def of_lists(cls, lists: list[list[int]]) -> _Tokens:
+        return cls(np.array([i for own in lists for i in own], dtype=np.int64), np.array(list(map(len, lists)), dtype=np.int64))
+
+    @classmethod
+    def of_lines(cls, ids: np.ndarray, line: int) -> _Tokens:
+        """Units that have a line end before each."""
+        begins = ids == line
+        counts = np.diff(np.append(np.flatnonzero(begins), len(ids))) - 1
+        return cls(ids[~begins], counts)
+
+    def and_then(self, other: _Tokens) -> _Tokens:
+        return _Tokens(np.concatenate([self.ids, other.ids]), np.concatenate([self.counts, other.counts]))
+
+    def of(self, units: np.ndarray) -> _Tokens:
+        """Some of the units, in the given order."""
+        counts = self.counts[units]
+        first = self.ends[units] - counts
+        return _Tokens(self.ids[np.arange(counts.sum()) + np.repeat(first - np.cumsum(counts) + counts, counts)], counts)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(values)])[self.ends], prepend=0)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 class Aligner:
@@ -165,19 +226,21 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        self.a, self.a_bytes = _byte_level(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        alphabet = _byte_alphabet()
-        entries = sorted(self.a.get_vocab(with_added_tokens=True).items(), key=lambda entry: entry[1])
-        self.a_bytes = [bytes(alphabet[c] for c in entry) for entry, _ in entries]
         pieces = (self.b.id_to_piece(i) for i in range(self.b.get_piece_size()))
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)
         ]
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
+        # Ids of a line end, and every id as text with what may follow it.
+        self.a_line, self.b_line = self.a.encode_ordinary("\n")[0], self.b.encode("\n")[1]
+        ids = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.widths = np.array([len(i) + 1 for i in ids])
+        inner, a_last, b_last = ([i + mark for i in ids] for mark in ",|;")
+        self.a_written, self.b_written = np.array([inner, a_last], dtype=object), np.array([inner, b_last], dtype=object)
         self.forget()
 
     def forget(self) -> None:
@@ -187,68 +250,96 @@ class Aligner:
         self.pairs, self.links = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.ends = np.zeros(1, dtype=np.int64)
 
-    def _encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        # B puts a blank before what it gets: a unit that begins with one goes without it, and for
-        # another one the blank and a line end, which join nothing, are taken off again.
-        blank = [u[0] == " " for u in units]
-        b = self.b.encode([u[1:] if own else "\n" + u for u, own in zip(units, blank, strict=True)], num_threads=1)
-        # A blank alone would come back as nothing.
-        return a, [ids if own else ids[2:] for ids, own in zip(b, blank, strict=True)]
+    def _encode(self, units: list[str]) -> tuple[_Tokens, _Tokens]:
+        """The ids of units: many with one call, as lines of a text, where white space allows it."""
+        plain = [i for i, unit in enumerate(units) if _PLAIN.fullmatch(unit)]
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for start in range(0, len(plain), _RUN):
+            # B puts a blank before the first line end.
+            text = "\n".join(["", *(units[i] for i in plain[start : start + _RUN])])
+            a.append(self.a.encode_to_numpy(text, disallowed_special=()).astype(np.int64))
+            b.append(np.array(self.b.encode(text)[1:], dtype=np.int64))
+        a, b = _Tokens.of_lines(np.concatenate(a), self.a_line), _Tokens.of_lines(np.concatenate(b), self.b_line)
+        if len(plain) == len(units):
+            return a, b
+        alone = sorted(set(range(len(units))).difference(plain))
+        own = _Tokens.of_lists([self.a.encode_ordinary(units[i]) for i in alone])
+        order = np.argsort(np.array(plain + alone))
+        # A unit that begins with a blank goes to B without it; for another one, the blank and a line
+        # end, which join nothing, are taken off again.
+        found = [self.b.encode(units[i][1:]) if units[i][0] == " " else self.b.encode("\n" + units[i])[2:] for i in alone]
+        return a.and_then(own).of(order), b.and_then(_Tokens.of_lists(found)).of(order)
+
+    def _valid(self, units: list[str], a: _Tokens, b: _Tokens) -> np.ndarray:
+        """Whether the tokens of either vocabulary give back each unit."""
+        data = [u.encode() for u in units]
+        sizes = np.array(list(map(len, data)))
+        found = np.ones(len(units), dtype=bool)
+        for tokens, table, lengths in ((a, self.a_bytes, self.a_sizes), (b, self.b_bytes, self.b_sizes)):
+            if (tokens.sums(lengths[tokens.ids]) == sizes).all():
+                if b"".join(map(table.__getitem__, tokens.ids.tolist())) == b"".join(data):
+                    continue
+            lists = np.split(tokens.ids, tokens.ends[:-1])
+            found &= [b"".join(map(table.__getitem__, t.tolist())) == d for t, d in zip(lists, data, strict=True)]
+        return found
 
     def _add(self, units: list[str]) -> None:
-        first = len(self.numbers)
-        self.numbers.update(zip(units, range(first, first + len(units)), strict=True))
-        a_ids, b_ids = self._encode(units)
+        a, b = self._encode(units)
+        valid = self._valid(units, a, b)
+        sound = np.flatnonzero(valid)
         facts = np.zeros((len(units), 5), dtype=np.int64)
-        for i, unit in enumerate(units):
-            data = unit.encode()
-            facts[i, 0] = (
-                b"".join(map(self.a_bytes.__getitem__, a_ids[i])) == data
-                and b"".join(map(self.b_bytes.__getitem__, b_ids[i])) == data
-            )
-        kept = np.flatnonzero(facts[:, 0]).tolist()
+        facts[:, 0] = valid
+        facts[:, 1], facts[:, 2] = np.where(valid, a.counts, 0), np.where(valid, b.counts, 0)
         texts = [""] * len(units)
-        pairs, links = [], np.zeros(0, dtype=np.int64)
-        ends = np.zeros(len(units), dtype=np.int64)
-        if kept:
-            flat = {}
-            for side, ids, table, column in (("a", a_ids, self.a_bytes, 1), ("b", b_ids, self.b_bytes, 2)):
-                counts = np.array([len(ids[i]) for i in kept])
-                facts[kept, column] = counts
-                every = np.array([t for i in kept for t in ids[i]], dtype=np.int64)
-                sizes = np.array([len(table[t]) for t in every.tolist()], dtype=np.int64)
-                flat[side] = every, np.cumsum(sizes), np.repeat(kept, counts)
-            (a, a_end, owner), (b, b_end, _) = flat["a"], flat["b"]
-            common = np.intersect1d(a_end, b_end)
+        pair = links = np.zeros(0, dtype=np.int64)
+        per_unit = np.zeros(len(units), dtype=np.int64)
+        if len(sound):
+            if len(sound) < len(units):
+                a, b = a.of(sound), b.of(sound)
+            a_end, b_end = np.cumsum(self.a_sizes[a.ids]), np.cumsum(self.b_sizes[b.ids])
+            # Groups end where a token of A and one of B do.
+            common = np.intersect1d(a_end, b_end, assume_unique=True)
             a_cut, b_cut = np.searchsorted(a_end, common) + 1, np.searchsorted(b_end, common) + 1
-            for unit, x0, x1, y0, y1 in zip(
-                owner[a_cut - 1].tolist(), [0, *a_cut[:-1].tolist()], a_cut.tolist(),
-                [0, *b_cut[:-1].tolist()], b_cut.tolist(), strict=True,
-            ):
-                group = f"{','.join(map(str, a[x0:x1].tolist()))}|{','.join(map(str, b[y0:y1].tolist()))}"
-                texts[unit] = f"{texts[unit]};{group}" if texts[unit] else group
-                facts[unit, 3] += 1
+            facts[sound, 3] = np.diff(np.searchsorted(a_cut, a.ends, side="right"), prepend=0)
+            for unit, text in zip(sound.tolist(), self._group_texts(a, b, a_cut, b_cut), strict=True):
+                texts[unit] = text
             # Tokens of B that overlap a token of A: from the first to end behind its start to the
             # first to end at or behind its end.
-            a_start = np.concatenate([[0], a_end[:-1]])
-            low = np.searchsorted(b_end, a_start, side="right")
-            high = np.searchsorted(b_end, a_end, side="left") + 1
-            each = high - low
+            low = np.searchsorted(b_end, np.concatenate([[0], a_end[:-1]]), side="right")
+            each = np.searchsorted(b_end, a_end, side="left") + 1 - low
             at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - low, each)
-            pair = (np.repeat(a, each) << _B_BITS) | b[at]
-            unit = np.repeat(owner, each)
+            pair = (np.repeat(a.ids, each) << _B_BITS) | b.ids[at]
+            unit = np.repeat(np.repeat(sound, a.counts), each)
             facts[:, 4] = np.bincount(unit, minlength=len(units))
             order = np.lexsort((pair, unit))
             pair, unit = pair[order], unit[order]
             new = np.flatnonzero(np.concatenate([[True], (np.diff(pair) != 0) | (np.diff(unit) != 0)]))
-            pairs, links = pair[new], np.diff(np.append(new, len(pair)))
-            ends = np.bincount(unit[new], minlength=len(units))
+            pair, links = pair[new], np.diff(np.append(new, len(pair)))
+            per_unit = np.bincount(unit[new], minlength=len(units))
+        self.numbers.update(zip(units, range(len(self.numbers), len(self.numbers) + len(units)), strict=True))
         self.groups += texts
         self.facts = np.concatenate([self.facts, facts])
-        self.pairs = np.concatenate([self.pairs, np.asarray(pairs, dtype=np.int64)])
-        self.links = np.concatenate([self.links, links])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(ends)])
+        self.pairs, self.links = np.concatenate([self.pairs, pair]), np.concatenate([self.links, links])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(per_unit)])
+
+    def _group_texts(self, a: _Tokens, b: _Tokens, a_cut: np.ndarray, b_cut: np.ndarray) -> Iterator[str]:
+        """The groups of each unit as text, each group with a semicolon behind it.
+
+        A group is its tokens of A and then those of B, so a token's place in the whole text follows
+        from the groups before it, and what comes behind it from whether it is the last of its kind.
+        """
+        a_at, b_at = np.arange(len(a.ids)), np.arange(len(b.ids))
+        a_place = a_at + np.concatenate([[0], b_cut])[np.searchsorted(a_cut, a_at, side="right")]
+        b_place = b_at + a_cut[np.searchsorted(b_cut, b_at, side="right")]
+        a_last, b_last = np.zeros(len(a.ids), dtype=np.int64), np.zeros(len(b.ids), dtype=np.int64)
+        a_last[a_cut - 1], b_last[b_cut - 1] = 1, 1
+        written = np.empty(len(a.ids) + len(b.ids), dtype=object)
+        written[a_place], written[b_place] = self.a_written[a_last, a.ids], self.b_written[b_last, b.ids]
+        text = "".join(written.tolist())
+        lengths = np.zeros(len(written), dtype=np.int64)
+        lengths[a_place], lengths[b_place] = self.widths[a.ids], self.widths[b.ids]
+        ends = np.cumsum(lengths)[a.ends + b.ends - 1].tolist()
+        return map(text.__getitem__, map(slice, [0, *ends[:-1]], ends))
 
     def number(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all units in a row, and where each list's begin. Numbers hold until the next call."""
@@ -269,11 +360,11 @@ class Aligner:
     def pairs_of(self, numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct pairs of each list, and which list each belongs to."""
         owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(numbers))))
-        seen = np.unique((owner << 32) | numbers)
+        seen = _distinct((owner << 32) | numbers)
         owner, numbers = seen >> 32, seen & 0xFFFFFFFF
         first, counts = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
         at = np.arange(counts.sum()) + np.repeat(first - np.cumsum(counts) + counts, counts)
-        seen = np.unique((np.repeat(owner, counts) << _PAIR_BITS) | self.pairs[at])
+        seen = _distinct((np.repeat(owner, counts) << _PAIR_BITS) | self.pairs[at])
         return seen & ((1 << _PAIR_BITS) - 1), seen >> _PAIR_BITS
 
 
@@ -528,11 +619,11 @@ def _align(batches: Iterable[pa.RecordBatch], a_path: str, b_path: str, part: Br
             own = align.valid(numbers, starts)
             valid[rows] = own if digest is None else own & valid[rows]
             for row, listed in zip(rows, np.split(numbers, starts[1:]), strict=True):
-                text = ";".join(map(align.groups.__getitem__, listed.tolist())).encode()
+                text = "".join(map(align.groups.__getitem__, listed.tolist())).encode()
                 if digest is None:
-                    digest = hashlib.sha256(text)
-                else:
-                    digest.update(b";" + text)
+                    digest = hashlib.sha256()
+                # The last group has no semicolon behind it.
+                digest.update(text if goes_on else text[:-1])
                 if not goes_on:
                     digests[row], digest = digest.hexdigest(), None
         sums[~valid] = 0
