@@ -19,6 +19,10 @@ of a content are summed before anything is collected, so a leaf holds a common c
 holds one 65,536th of a folder's contents, an inner node and the root at most 256 digests.
 """
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +33,11 @@ from echofold.staging import stage
 # Leading hex digits of a hash that name its leaf and its inner node.
 LEAF_DIGITS = 4
 NODE_DIGITS = 2
+# Copies of a content that are written out at once.
+_CHAIN_COPIES = 1 << 15
+
+# The columns of a content summary, each the sum of one piece of all hashes.
+LANES = ["lane_0", "lane_1", "lane_2", "lane_3"]
 
 _FOLDER = ["scan_run_id", "folder"]
 
@@ -37,11 +46,19 @@ def _with_folder(files: DataFrame) -> DataFrame:
     return files.withColumn("folder", paths.folder_of("full_path"))
 
 
-def folder_rollup(files: DataFrame) -> DataFrame:
+def _lane(number: int) -> Column:
+    """Some digits of a content hash as a number of 24 bits: sums of 2^39 of them fit a bigint."""
+    return F.conv(F.substring("content_hash", 1 + 6 * number, 6), 16, 10).cast("bigint")
+
+
+def folder_rollup(files: DataFrame, summarize: bool = False) -> DataFrame:
     """Per run and folder: files beneath it, how many are hashed, total size, newest and oldest date.
 
-    ``own_files`` counts the files directly inside.
+    ``own_files`` counts the files directly inside. ``summarize`` adds the content summary: sums of pieces
+    of the content hashes (``LANES``). Sums of a folder's parts add up to its own, so a summary is made
+    from one row per folder, whatever the number of contents.
     """
+    lanes = LANES if summarize else []
     own = (
         _with_folder(files)
         .groupBy(*_FOLDER)
@@ -51,6 +68,7 @@ def folder_rollup(files: DataFrame) -> DataFrame:
             F.sum("size_bytes").alias("own_size"),
             F.max("date_modified_utc").alias("own_modified"),
             F.min("date_created_utc").alias("own_created"),
+            *[F.sum(_lane(i)).alias(f"own_{lane}") for i, lane in enumerate(lanes)],
         )
     )
     return (
@@ -64,6 +82,7 @@ def folder_rollup(files: DataFrame) -> DataFrame:
             F.min("own_created").alias("date_created_utc"),
             F.sum(F.when(F.col("folder") == F.col("ancestor"), F.col("own_files")).otherwise(0))
             .alias("own_files"),
+            *[F.sum(f"own_{lane}").alias(lane) for lane in lanes],
         )
     )
 
@@ -76,17 +95,14 @@ def _ordered_text(item: str, order: str, name: str) -> Column:
     return F.expr(f"listagg({item}, '') within group (order by {order}) as {name}")
 
 
-def leaf_digests(files: DataFrame, rollup: DataFrame) -> DataFrame:
-    """The leaves of every fully hashed folder: folder_id, file_count, leaf and its digest.
-
-    Folders are told by the ``folder_id`` of a staged ``rollup``.
-    """
+def _contents(files: DataFrame, wanted: DataFrame, rollup: DataFrame) -> DataFrame:
+    """The contents of the ``wanted`` folders of a roll-up: folder_id, file_count, content_hash, copies."""
     contents = (
         _with_folder(files.filter("content_hash is not null"))
         .groupBy(*_FOLDER, F.rtrim("content_hash").alias("content_hash"))
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    complete = rollup.filter("file_count = hashed_count").select(
+    complete = wanted.filter("file_count = hashed_count").select(
         "scan_run_id", F.col("full_path").alias("ancestor"), "folder_id", "file_count"
     )
     # Each folder with files of its own, paired with the folders that contain it. Only the number of
@@ -94,21 +110,31 @@ def leaf_digests(files: DataFrame, rollup: DataFrame) -> DataFrame:
     own = rollup.filter("own_files > 0").select("scan_run_id", F.col("full_path").alias("folder"))
     lineage = paths.with_ancestors(own, "folder", "ancestor")
     lineage = lineage.join(complete, ["scan_run_id", "ancestor"]).drop("ancestor")
+    copied = contents.join(lineage, _FOLDER).groupBy("folder_id", "file_count", "content_hash")
+    return copied.agg(F.sum("copies").alias("copies"))
+
+
+def leaf_digests(files: DataFrame, wanted: DataFrame, rollup: DataFrame) -> DataFrame:
+    """The leaves of the fully hashed folders among the ``wanted`` ones: folder_id, file_count, node, leaf, digest.
+
+    Folders are told by the ``folder_id`` of a staged ``rollup``. The contents of a node are dealt to one
+    task, and leaves and nodes are made where they lie: each digests what the one below has grouped.
+    """
     return (
-        contents.join(lineage, _FOLDER)
-        .groupBy("folder_id", "file_count", "content_hash")
-        .agg(F.sum("copies").alias("copies"))
-        .groupBy("folder_id", "file_count", F.substring("content_hash", 1, LEAF_DIGITS).alias("leaf"))
+        _contents(files, wanted, rollup)
+        .withColumn("node", F.substring("content_hash", 1, NODE_DIGITS))
+        .repartition("folder_id", "node")
+        .groupBy("folder_id", "file_count", "node", F.substring("content_hash", 1, LEAF_DIGITS).alias("leaf"))
         .agg(_ordered_text("concat(content_hash, ':', copies, ',')", "content_hash", "counted"))
-        .select("folder_id", "file_count", "leaf", F.sha2("counted", 256).alias("digest"))
+        .select("folder_id", "file_count", "node", "leaf", F.sha2("counted", 256).alias("digest"))
     )
 
 
-def fingerprints(files: DataFrame, rollup: DataFrame) -> DataFrame:
-    """The fingerprint of every fully hashed folder, by the ``folder_id`` of a staged ``rollup``."""
+def fingerprints(files: DataFrame, wanted: DataFrame, rollup: DataFrame) -> DataFrame:
+    """The fingerprint of every fully hashed folder among the ``wanted`` ones, by ``folder_id``."""
     nodes = (
-        leaf_digests(files, rollup)
-        .groupBy("folder_id", "file_count", F.substring("leaf", 1, NODE_DIGITS).alias("node"))
+        leaf_digests(files, wanted, rollup)
+        .groupBy("folder_id", "file_count", "node")
         .agg(_ordered_text("digest", "leaf", "leaves"))
         .select("folder_id", "file_count", "node", F.sha2("leaves", 256).alias("digest"))
     )
@@ -117,15 +143,71 @@ def fingerprints(files: DataFrame, rollup: DataFrame) -> DataFrame:
     return joined.select("folder_id", _sha256_hex(F.concat("hashes", ending)).alias("content_hash"))
 
 
-def numbered_rollup(files: DataFrame) -> DataFrame:
+def _chain_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest each folder's hashes in the order they come in; the folder at hand goes on in the next batch."""
+    folder = digest = count = None
+    for batch in batches:
+        done, values = [], []
+        columns = (batch.column(c).to_pylist() for c in ("folder_id", "file_count", "content_hash", "copies"))
+        for number, files, content, copies in zip(*columns, strict=True):
+            if number != folder:
+                if folder is not None:
+                    digest.update(count.to_bytes(8, "little"))
+                    done.append(folder)
+                    values.append(digest.hexdigest())
+                folder, digest, count = number, hashlib.sha256(), files
+            raw = bytes.fromhex(content)
+            while copies > 0:
+                # A common content is fed in pieces, not written out whole.
+                digest.update(raw * min(copies, _CHAIN_COPIES))
+                copies -= _CHAIN_COPIES
+        yield pa.record_batch([pa.array(done, pa.int64()), pa.array(values, pa.string())], names=["folder_id", "chain_hash"])
+    if folder is not None:
+        digest.update(count.to_bytes(8, "little"))
+        yield pa.record_batch([pa.array([folder]), pa.array([digest.hexdigest()])], names=["folder_id", "chain_hash"])
+
+
+def chain_hashes(files: DataFrame) -> DataFrame:
+    """Every fully hashed folder with its plain chain: SHA-256 over all its hashes, sorted, and their number.
+
+    For exchange with tools that use this value: scan_run_id, full_path, chain_hash. The hashes count as
+    32 bytes each, a content as often as it has copies, and the number of files as a little-endian 64-bit
+    integer. A chain has one end, so a folder is digested by one task; it sees the folder's distinct
+    contents in order and holds a batch of them. The tree above is what splits.
+    """
+    rollup = numbered_rollup(files)
+    dealt = _contents(files, rollup, rollup).repartition("folder_id").sortWithinPartitions("folder_id", "content_hash")
+    found = dealt.mapInArrow(_chain_batches, "folder_id bigint, chain_hash string")
+    return found.join(rollup, "folder_id").select("scan_run_id", "full_path", "chain_hash")
+
+
+def numbered_rollup(files: DataFrame, summarize: bool = False) -> DataFrame:
     """The staged roll-up with a number for each folder."""
-    return stage(folder_rollup(files).withColumn("folder_id", F.monotonically_increasing_id()), "rollup")
+    rollup = folder_rollup(files, summarize)
+    return stage(rollup.withColumn("folder_id", F.monotonically_increasing_id()), "rollup")
 
 
-def folder_rows(files: DataFrame) -> DataFrame:
-    """One row per run and folder, in the shape of an entry; the fingerprint is the content hash."""
-    rollup = numbered_rollup(files)
-    found = fingerprints(files, rollup)
+def with_repeated_summary(rollup: DataFrame) -> DataFrame:
+    """Fully hashed folders that share summary, number of files and size with another folder of any run.
+
+    Folders of equal content are among them. Different contents can be too, if ever so rarely, so their
+    fingerprints decide.
+    """
+    summary = ["file_count", "size_bytes", *LANES]
+    complete = rollup.filter("file_count = hashed_count")
+    repeated = complete.groupBy(*summary).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return complete.join(repeated, summary, "left_semi")
+
+
+def folder_rows(files: DataFrame, repeated_only: bool = False) -> DataFrame:
+    """One row per run and folder, in the shape of an entry; the fingerprint is the content hash.
+
+    ``repeated_only`` works out fingerprints only where another folder may have the same content, which
+    is all that looking for duplicate folders needs: the others get none.
+    """
+    rollup = numbered_rollup(files, repeated_only)
+    wanted = stage(with_repeated_summary(rollup), "repeated-folders") if repeated_only else rollup
+    found = fingerprints(files, wanted, rollup)
     return rollup.join(found, "folder_id", "left").select(
         "scan_run_id",
         F.lit(S.FOLDER).alias("entry_type"),

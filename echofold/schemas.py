@@ -50,3 +50,29 @@ SCANS = T.StructType([
 SCAN_EVENTS = T.StructType(
     [T.StructField("event_at_utc", T.TimestampNTZType())] + SCANS.fields
 )
+
+# What a batch has finished, so that it can go on after a stop: "listed" (with the number of hash buckets)
+# and "hashed" (with the number of the bucket).
+LISTED, HASHED = "listed", "hashed"
+
+PROGRESS = T.StructType([
+    T.StructField("batch", T.StringType()),
+    T.StructField("step", T.StringType()),
+    T.StructField("number", T.LongType()),
+    T.StructField("at_utc", T.TimestampNTZType()),
+])
+
+HASHES = T.StructType([
+    T.StructField("scan_run_id", T.StringType()),
+    T.StructField("full_path", T.StringType()),
+    T.StructField("content_hash", T.StringType()),
+    T.StructField("error", T.StringType()),
+    T.StructField("batch", T.StringType()),
+    T.StructField("bucket", T.LongType()),
+])
+
+FAILURES = T.StructType([
+    T.StructField("scan_run_id", T.StringType()),
+    T.StructField("error", T.StringType()),
+    T.StructField("batch", T.StringType()),
+])

@@ -5,7 +5,7 @@ date_created_utc``; a listing made from a table also has ``content_hash``.
 """
 
 from dataclasses import dataclass
-from functools import partial, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,44 +25,80 @@ def _tasks(spark: SparkSession) -> int:
     return _TASKS_PER_CORE * spark.sparkContext.defaultParallelism
 
 
+def _not_entered(folders: DataFrame, entered: list[DataFrame]) -> DataFrame:
+    """Each folder of a frontier once, by its first path, unless it was entered before.
+
+    Folders are told by their identity in the store, where it has one, so a folder that many links
+    lead to is one folder.
+    """
+    place = F.coalesce("identity", "full_path").alias("place")
+    frontier = folders.select("root", place, "full_path").groupBy("root", "place")
+    frontier = frontier.agg(F.min("full_path").alias("full_path"))
+    if not entered:
+        return frontier
+    known = reduce(DataFrame.unionAll, entered).select("root", "place")
+    return frontier.join(known, ["root", "place"], "left_anti")
+
+
 def walk(spark: SparkSession, roots: list[str], follow_links: bool = False) -> DataFrame:
     """Everything beneath the roots: files, folders, links, and folders that could not be listed.
 
     One pass per depth: the folders of a level are dealt over the tasks, and what each task finds is
-    stored, so neither the driver nor a task ever holds a listing. Roots are kept apart: overlapping
-    ones list a shared file once each.
+    stored, so no listing passes through the driver. A task goes through a local folder entry by entry;
+    stores that hand out a folder in one piece need memory for their largest one. Roots are kept apart:
+    overlapping ones list a shared file once each.
+
+    When links are followed, the folders that lie beneath the roots come first, then level by level those
+    that only links lead to. A folder is entered once, so links in a circle end.
     """
     level = spark.createDataFrame([(root, storage.full_form(root)) for root in roots], "root string, full_path string")
-    list_level = partial(storage.list_folders, follow_links=follow_links)
-    found = []
+    if follow_links:
+        level = level.mapInPandas(storage.identify, "root string, full_path string, identity string")
+    found: list[DataFrame] = []
+    entered: list[DataFrame] = []
     while True:
+        if follow_links:
+            entered.append(stage(_not_entered(level, entered), "entered-level"))
+            level = entered[-1]
         # A fixed number of tasks keeps adaptive execution from packing slow, tiny rows into one.
-        dealt = level.repartition(_tasks(spark), "root", "full_path")
-        found.append(stage(dealt.mapInPandas(list_level, storage.LISTED), "listed-level"))
-        below = found[-1].filter("is_dir and list_error is null")
-        level = (below if follow_links else below.filter("not is_link")).select("root", "full_path")
+        dealt = level.select("root", "full_path").repartition(_tasks(spark), "root", "full_path")
+        found.append(stage(dealt.mapInPandas(storage.list_folders, storage.LISTED), "listed-level"))
+        level = found[-1].filter("is_dir and not is_link and list_error is null")
         if level.isEmpty():
-            return reduce(DataFrame.unionAll, found)
+            if not follow_links:
+                return reduce(DataFrame.unionAll, found)
+            links = reduce(DataFrame.unionAll, found).filter("is_dir and is_link")
+            level = stage(_not_entered(links, entered), "linked-folders").withColumnRenamed("place", "identity")
+            if level.isEmpty():
+                return reduce(DataFrame.unionAll, found)
 
 
 @dataclass(frozen=True)
 class RootListings:
-    """The files of several roots, and the folders that could not be listed, roots included."""
+    """The files of several roots, the folders that could not be listed, and roots whose listing failed.
+
+    ``skips`` has (root, full_path, reason), ``failures`` (root, error).
+    """
 
     files: DataFrame
     skips: DataFrame
+    failures: DataFrame
 
 
 def read_listings(spark: SparkSession, roots: list[str], follow_links: bool = False) -> RootListings:
-    """Files beneath the roots, whatever their names. Links are left out unless they are followed."""
-    listed, skips = split_skips(walk(spark, roots, follow_links))
-    # Folders behind links were not entered, so what is left to drop are links to files.
-    files = listed.filter("not is_dir" if follow_links else "not is_dir and not is_link")
-    files = files.select(
+    """Files beneath the roots, whatever their names.
+
+    Links to files are left out: the file is listed where it lies. Folders behind links are entered
+    only if links are followed.
+    """
+    listed = walk(spark, roots, follow_links)
+    found, skips = split_skips(listed)
+    files = found.filter("not is_dir and not is_link").select(
         "root", "full_path", paths.leaf_name("full_path").alias("file_name"), "size_bytes", "date_modified_utc",
         F.lit(None).cast("timestamp_ntz").alias("date_created_utc"),
     )
-    return RootListings(files, skips)
+    broken = split_skips(listed.filter("is_fatal"))[1]
+    return RootListings(files, skips, broken.groupBy("root").agg(F.min("reason").alias("error")))
 
 
 def read_listing(spark: SparkSession, root: str) -> DataFrame:

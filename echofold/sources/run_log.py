@@ -36,19 +36,25 @@ def files_written(entries: DataFrame) -> DataFrame:
 
 
 def closed(
-    open_events: DataFrame, entries: DataFrame, at: datetime, status: str, error: str | None = None
+    open_events: DataFrame, entries: DataFrame, at: datetime, status: str, error: str | None = None,
+    failures: DataFrame | None = None,
 ) -> DataFrame:
-    """The closing event of each run: completion time, outcome, rows written, error."""
+    """The closing event of each run: completion time, outcome, rows written, error.
+
+    ``failures`` (scan_run_id, error) names runs that failed on their own, whatever the others did.
+    """
     written = files_written(entries)
-    return (
-        open_events.drop("event_at_utc", "completed_at_utc", "status", "files_written", "scan_error")
-        .join(written, "scan_run_id", "left")
-        .select(
-            "*",
-            ntz(at).alias("event_at_utc"),
-            ntz(at).alias("completed_at_utc"),
-            F.lit(status).alias("status"),
-            F.lit(error).cast("string").alias("scan_error"),
-        )
-        .withColumn("files_written", F.coalesce("files_written", F.lit(0)))
+    closing = open_events.drop("event_at_utc", "completed_at_utc", "status", "files_written", "scan_error")
+    closing = closing.join(written, "scan_run_id", "left")
+    own = F.lit(None).cast("string")
+    if failures is not None:
+        failed = failures.select("scan_run_id", F.col("error").alias("own_error"))
+        closing, own = closing.join(failed, "scan_run_id", "left"), F.col("own_error")
+    return closing.select(
+        *[c for c in closing.columns if c not in ("own_error", "files_written")],
+        F.coalesce("files_written", F.lit(0)).alias("files_written"),
+        ntz(at).alias("event_at_utc"),
+        ntz(at).alias("completed_at_utc"),
+        F.when(own.isNotNull(), S.FAILED).otherwise(status).alias("status"),
+        F.coalesce(own, F.lit(error).cast("string")).alias("scan_error"),
     )

@@ -2,6 +2,10 @@
 
 A path is taken apart as text, so blanks, ``%`` and ``#`` in a key mean themselves. ``file:`` paths and
 plain ones are local (or mounted) folders; others go to the store of their scheme.
+
+Names of local files are bytes. Those that are UTF-8 are that text; bytes that are not stand in the text
+as the private characters U+EF80 to U+EFFF (0x80 to 0xFF), and so do the bytes of such characters in a
+name. ``bytes_of`` gives back the name exactly, so any file that is listed can be opened.
 """
 
 import hashlib
@@ -13,8 +17,8 @@ from functools import lru_cache
 
 import pandas as pd
 
-LISTED = "root string, full_path string, is_dir boolean, is_link boolean, size_bytes bigint, " \
-    "date_modified_utc timestamp_ntz, list_error_type string, list_error string"
+LISTED = "root string, full_path string, is_dir boolean, is_link boolean, identity string, size_bytes bigint, " \
+    "date_modified_utc timestamp_ntz, list_error_type string, list_error string, is_fatal boolean"
 HASH_RESULTS = "root string, full_path string, content_hash string, error string"
 
 _BLOCK = 1 << 20
@@ -22,6 +26,25 @@ _ROWS = 4_096
 _OBJECT_STORES = {"s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs"}
 
 
+# A raw byte as a private character, and as Python's own stand-in for it.
+_PRIVATE, _ESCAPED = 0xEF00, 0xDC00
+
+
+def text_of(name: bytes) -> str:
+    """A local name as text."""
+    def private(found: re.Match) -> str:
+        raw = found[0].encode("utf-8", "surrogateescape")
+        return "".join(chr(_PRIVATE + byte) for byte in raw)
+
+    return re.sub("[\udc80-\udcff\uef80-\uefff]", private, name.decode("utf-8", "surrogateescape"))
+
+
+def bytes_of(text: str) -> bytes:
+    """The local name that ``text_of`` gave as text."""
+    escaped = re.sub("[\uef80-\uefff]", lambda c: chr(ord(c[0]) - _PRIVATE + _ESCAPED), text)
+    return escaped.encode("utf-8", "surrogateescape")
+
+
 def local_name(path: str) -> str | None:
     """The name of a path in the file system of the task; null for other stores."""
     if path.startswith("dbfs:/"):
@@ -36,7 +59,7 @@ def full_form(root: str) -> str:
     name = local_name(root)
     if name is None or root.startswith("dbfs:"):
         return root.rstrip("/")
-    return "file:" + os.path.abspath(name).rstrip("/")
+    return "file:" + text_of(os.path.abspath(bytes_of(name))).rstrip("/")
 
 
 def place_of(path: str) -> tuple[str, str]:
@@ -56,8 +79,16 @@ def _store(address: str):
     return fs.FileSystem.from_uri(address)[0]
 
 
-def _children(folder: str, follow_links: bool) -> Iterator[tuple]:
-    """(path, is_dir, is_link, size, modified) of what lies directly in a folder, whatever its name."""
+def _identity(facts: os.stat_result) -> str:
+    """The same for every path that leads to one folder."""
+    return f"{facts.st_dev}:{facts.st_ino}"
+
+
+def _children(folder: str) -> Iterator[tuple]:
+    """(path, is_dir, is_link, identity, size, modified) of what lies directly in a folder, whatever its name.
+
+    An entry whose facts cannot be read is left out alone. A link is a folder if it leads to one.
+    """
     name = local_name(folder)
     if name is None:
         from pyarrow import fs
@@ -65,22 +96,47 @@ def _children(folder: str, follow_links: bool) -> Iterator[tuple]:
         address, key = place_of(folder)
         for info in _store(address).get_file_info(fs.FileSelector(key)):
             modified = info.mtime and info.mtime.astimezone(UTC).replace(tzinfo=None)
-            yield f"{folder}/{info.base_name}", info.type == fs.FileType.Directory, False, info.size, modified
+            yield f"{folder}/{info.base_name}", info.type == fs.FileType.Directory, False, None, info.size, modified
         return
-    with os.scandir(name or "/") as found:
+    with os.scandir(bytes_of(name or "/")) as found:
         for entry in found:
-            link = entry.is_symlink()
-            is_dir = entry.is_dir()
-            # A link to a folder above itself would never end.
-            if link and is_dir and os.path.realpath(name).startswith(os.path.realpath(entry.path)):
-                is_dir = False
-            facts = entry.stat(follow_symlinks=follow_links and os.path.exists(entry.path))
-            modified = datetime.fromtimestamp(facts.st_mtime, UTC).replace(tzinfo=None)
-            yield f"{folder}/{entry.name}", is_dir, link, None if is_dir else facts.st_size, modified
-
-
-def list_folders(batches: Iterable[pd.DataFrame], follow_links: bool) -> Iterator[pd.DataFrame]:
-    """What lies directly in each folder; one that cannot be listed is a row with its error."""
+            path = f"{folder}/{text_of(entry.name)}"
+            try:
+                link, is_dir = entry.is_symlink(), entry.is_dir()
+                if is_dir:
+                    try:
+                        identity = _identity(entry.stat())
+                    except OSError:
+                        # Listing it will tell what is wrong.
+                        identity = None
+                    yield path, True, link, identity, None, None
+                else:
+                    facts = entry.stat(follow_symlinks=False)
+                    modified = datetime.fromtimestamp(facts.st_mtime, UTC).replace(tzinfo=None)
+                    yield path, False, link, None, facts.st_size, modified
+            except OSError:
+                continue
+
+
+def identify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The identity of each root; null where there is none to read."""
+    def of(folder: str) -> str | None:
+        name = local_name(folder)
+        try:
+            return None if name is None else _identity(os.stat(bytes_of(name or "/")))
+        except OSError:
+            return None
+
+    for batch in batches:
+        yield batch.assign(identity=[of(folder) for folder in batch["full_path"]])
+
+
+def list_folders(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What lies directly in each folder; one that cannot be listed is a row with its error.
+
+    An error of the store, such as a missing folder or right, skips the folder. Any other one is
+    fatal for the root: what lies beneath it cannot be relied on.
+    """
     names = [part.split()[0] for part in LISTED.split(", ")]
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
@@ -91,15 +147,16 @@ def list_folders(batches: Iterable[pd.DataFrame], follow_links: bool) -> Iterato
         rows = []
         for root, folder in zip(batch["root"], batch["full_path"], strict=True):
             try:
-                for path, *facts in _children(folder, follow_links):
-                    rows.append((root, path, *facts, None, None))
+                for path, *facts in _children(folder):
+                    rows.append((root, path, *facts, None, None, False))
                     if len(rows) >= _ROWS:
                         yield frame(rows)
                         rows = []
             except Exception as error:
                 # A root goes by the name it was given.
                 shown = root if folder == full_form(root) else folder
-                rows.append((root, shown, True, False, None, None, type(error).__name__, str(error)))
+                fatal = not isinstance(error, OSError)
+                rows.append((root, shown, True, False, None, None, None, type(error).__name__, str(error), fatal))
         yield frame(rows)
 
 
@@ -111,7 +168,7 @@ def _digest(path: str) -> tuple[str | None, str | None]:
             address, key = place_of(path)
             stream = _store(address).open_input_stream(key, buffer_size=_BLOCK)
         else:
-            stream = open(name, "rb", buffering=0)
+            stream = open(bytes_of(name), "rb", buffering=0)
         with stream:
             while block := stream.read(_BLOCK):
                 digest.update(block)

@@ -1,4 +1,4 @@
-"""The stored inventory: entries and skips by run, and an append-only run log, as Parquet."""
+"""The stored inventory as Parquet: entries and skips by run, an append-only run log, and hashing in progress."""
 
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -94,9 +94,40 @@ class Inventory:
             "scan_run_id", "entry_type"
         ).parquet(self._path("entries"))
 
-    def write_skips(self, rows: DataFrame) -> None:
+    def write_skips(self, rows: DataFrame, replace: bool = False) -> None:
+        """Append rows, or replace those of their runs."""
         shaped = conform(rows, S.SKIPS).hint("rebalance", "scan_run_id")
-        shaped.write.mode("append").partitionBy("scan_run_id").parquet(self._path("skips"))
+        writer = shaped.write.mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("scan_run_id").parquet(self._path("skips"))
+
+    def progress(self, batch: str) -> DataFrame:
+        return self._read_or_empty("progress", S.PROGRESS).filter(F.col("batch") == batch)
+
+    def write_progress(self, batch: str, step: str, number: int) -> None:
+        row = self.spark.createDataFrame([(batch, step, number, utc_now())], S.PROGRESS)
+        row.write.mode("append").parquet(self._path("progress"))
+
+    def failures(self, batch: str) -> DataFrame:
+        """Runs whose listing failed: scan_run_id, error."""
+        found = self._read_or_empty("failures", S.FAILURES).filter(F.col("batch") == batch)
+        return found.select("scan_run_id", "error")
+
+    def write_failures(self, rows: DataFrame, batch: str) -> None:
+        shaped = conform(rows.withColumn("batch", F.lit(batch)), S.FAILURES).repartition("batch")
+        writer = shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("batch").parquet(self._path("failures"))
+
+    def hashes(self, batch: str) -> DataFrame:
+        """Hash results of the buckets that are finished."""
+        done = self.progress(batch).filter(F.col("step") == S.HASHED).select(F.col("number").alias("bucket"))
+        found = self._read_or_empty("hashes", S.HASHES).filter(F.col("batch") == batch)
+        return found.join(done.distinct(), "bucket", "left_semi").drop("batch", "bucket")
+
+    def write_hashes(self, rows: DataFrame, batch: str, bucket: int) -> None:
+        """Store a bucket's results, in place of what an interrupted attempt may have left."""
+        shaped = conform(rows.withColumns({"batch": F.lit(batch), "bucket": F.lit(bucket)}), S.HASHES)
+        writer = shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("batch", "bucket").parquet(self._path("hashes"))
 
     def write_events(self, rows: DataFrame) -> None:
         conform(rows, S.SCAN_EVENTS).write.mode("append").parquet(self._path("scan_events"))

@@ -10,8 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names, else the session's warehouse, which is shared as well."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The shared folder the cluster names, else the session's warehouse, if that is shared as well."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+        on_this_machine = folder.startswith("file:") or "://" not in folder
+        if on_this_machine and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     return f"{folder.rstrip('/')}/echofold-staged"
 
 
@@ -28,9 +33,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a DataFrame that reads it back."""
+def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` once and return a DataFrame that reads it back, from folders by the given columns."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,9 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from echofold.operators import folders
 from echofold.operators.folders import folder_rows
 from tests.trees import digest, files
 
@@ -103,3 +105,51 @@ def test_any_tree_matches_hashlib_in_any_row_order(spark, tree, random):
     random.shuffle(paths)
     frame = files(spark, {path: tree[path] for path in paths})
     assert fingerprints(frame) == expected_fingerprints(frame.collect())
+
+
+def test_fingerprints_of_repeated_folders_only(spark):
+    frame = files(spark, {**TREE, "R/m": "h1", "R/n": "h1", "R/k": "h2"})
+    whole, some = fingerprints(frame), {r.full_path: r for r in folder_rows(frame, repeated_only=True).collect()}
+    assert some.keys() == whole.keys()
+    counts = Counter(whole.values())
+    for path, value in whole.items():
+        # Every folder that has an equal one keeps its value; the others have it or none.
+        assert some[path].content_hash == value if counts[value] > 1 else some[path].content_hash in (value, None)
+    assert some["s3://b/one"].content_hash is None
+
+
+def test_equal_summaries_do_not_make_equal_folders(spark, monkeypatch):
+    # Two contents whose sums agree: all lanes are the same number.
+    monkeypatch.setattr(folders, "_lane", lambda number: F.lit(1).cast("bigint"))
+    rows = {r.full_path: r.content_hash for r in folder_rows(files(spark, {"A/x": "h1", "B/x": "h2"}), True).collect()}
+    assert rows["s3://b/A"] == tree_of([digest("h1")]) != rows["s3://b/B"]
+
+
+@pytest.mark.parametrize("rows_in_a_batch", ["2", "10000"])
+def test_chains_go_on_across_batches(spark, monkeypatch, rows_in_a_batch):
+    monkeypatch.setattr(folders, "_CHAIN_COPIES", 3)
+    frame = files(spark, {**TREE, **{f"many/{i % 3}/{i}": f"h{i // 8}" for i in range(200)}})
+    beneath = defaultdict(list)
+    for row in frame.collect():
+        parts = row.full_path.removeprefix("s3://").split("/")
+        for depth in range(1, len(parts)):
+            name = "s3://" + "/".join(parts[:depth]) + ("/" if depth == 1 else "")
+            beneath[name].append(row.content_hash)
+    expected = {
+        name: hashlib.sha256(bytes.fromhex("".join(sorted(hashes))) + len(hashes).to_bytes(8, "little")).hexdigest()
+        for name, hashes in beneath.items() if None not in hashes
+    }
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_in_a_batch)
+    try:
+        assert {r.full_path: r.chain_hash for r in folders.chain_hashes(frame).collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_summaries_add_up(spark):
+    frame = files(spark, TREE).filter("content_hash is not null")
+    rows = {r.full_path: r for r in folders.folder_rollup(frame, summarize=True).collect()}
+    for lane in folders.LANES:
+        parts = [rows[f"s3://b/{p}"][lane] for p in ("P", "Q", "T", "one")]
+        assert rows["s3://b/"][lane] == sum(parts) + int(digest("alone")[6 * int(lane[-1]) :][:6], 16)
+    assert rows["s3://b/P"][folders.LANES[0]] == rows["s3://b/Q"][folders.LANES[0]]  # h1 x 3 and h2

@@ -2,7 +2,6 @@ import hashlib
 import json
 from pathlib import Path
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,7 +156,7 @@ def test_limits_and_switches(spark, drives, tmp_path):
     plain = InventoryOptions(compute_hash=False)
     rows = inventory_of_roots(spark, str(tmp_path / "i2"), "b", drives, plain).entries()
     assert (rows.count(), rows.filter("content_hash is not null").count()) == (6, 0)
-    staged = InventoryOptions(durable_metadata=True, compute_folders=False)
+    staged = InventoryOptions(compute_folders=False)
     rows = inventory_of_roots(spark, str(tmp_path / "i3"), "b", drives, staged).entries()
     assert (rows.count(), rows.filter("content_hash is not null").count()) == (6, 6)
 
@@ -205,39 +204,6 @@ def test_files_that_vanish_have_an_error(spark, drives):
     assert gone[0].error.startswith("FileNotFoundError: ")
 
 
-def test_names_links_and_unreadable_folders(spark, tmp_path):
-    root = tmp_path / "top"
-    for name in ["a.txt", ".hidden", "_under", ".git/config", "_delta_log/0 #%20.json", "sub/c.txt"]:
-        Path(root, name).parent.mkdir(parents=True, exist_ok=True)
-        Path(root, name).write_text(name)
-    Path(root, "link.txt").symlink_to(root / "a.txt")
-    Path(root, "linked").symlink_to(root / "sub")
-    Path(root, "loop").symlink_to(root)
-    plain = {"a.txt", ".hidden", "_under", ".git/config", "_delta_log/0 #%20.json", "sub/c.txt"}
-
-    def names(follow_links):
-        found = L.read_listings(spark, [str(root)], follow_links).files.collect()
-        return {r.full_path.removeprefix(f"file:{root}/") for r in found}
-
-    assert names(False) == plain
-    assert names(True) - {"loop"} == plain | {"link.txt", "linked/c.txt"}
-    hashed = L.hash_results(L.read_listing(spark, str(root))).collect()
-    assert len(hashed) == 6 and not any(r.error for r in hashed)
-
-
-def test_a_folder_that_cannot_be_listed_is_one_row(monkeypatch):
-    def denied(folder, follow_links):
-        if folder.endswith("secret"):
-            raise PermissionError("denied")
-        yield f"{folder}/f", False, False, 1, None
-
-    monkeypatch.setattr(storage, "_children", denied)
-    folders = pd.DataFrame({"root": ["r", "r"], "full_path": ["r/open", "r/secret"]})
-    rows = pd.concat(storage.list_folders([folders], False))
-    assert rows["full_path"].tolist() == ["r/open/f", "r/secret"]
-    assert rows["list_error_type"].tolist() == [None, "PermissionError"]
-
-
 def test_paths_of_stores():
     assert storage.place_of("s3a://b/k e%y#1") == ("s3:", "b/k e%y#1")
     assert storage.place_of("hdfs://nn:8020/a b") == ("hdfs://nn:8020/", "/a b")

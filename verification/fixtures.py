@@ -3,8 +3,16 @@
 Every document is a file of its source's drive and of a backup drive. Each drive has an old, a newest,
 a canceled and a running run; documents labelled toxic could not be read in the newest one. Web pages
 make up a run that the log does not know. Every line item is a file of a larger, deeper inventory.
+
+Documents are also written as files of their own, beneath one folder per source, for the queries that list
+and read storage.
 """
 
+import os
+from collections.abc import Iterable, Iterator
+from functools import partial
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +20,9 @@ from echofold import schemas as S
 from echofold.functions import paths
 from echofold.operators.folders import folder_rows
 from echofold.operators.runs import current_entries, hashed, latest_runs
+from echofold.sources import storage
 from echofold.sources.listing import listing_from_table
-from echofold.staging import stage
+from echofold.staging import new_path, stage
 
 LOCKED = "IOException: file locked"
 
@@ -144,10 +153,10 @@ def current_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def current_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprinted folders of the current runs."""
+    """Folders of the current runs, fingerprinted where another folder may have the same content."""
     runs = latest_runs(scans(spark, sf_dir))
     files = stage(current_entries(file_entries(spark, sf_dir), runs, S.FILE), "current-files")
-    return stage(hashed(folder_rows(files)), "current-folders")
+    return stage(hashed(folder_rows(files, repeated_only=True)), "current-folders")
 
 
 def lineitem_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +176,7 @@ def lineitem_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folder_rows(stage(lineitem_files(spark, sf_dir), "line-files"))
+    return folder_rows(stage(lineitem_files(spark, sf_dir), "line-files"), repeated_only=True)
 
 
 def event_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,3 +228,60 @@ def sized_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         paths.root_of("path"),
     )
     return docs.select(F.explode(styles).alias("path"))
+
+
+def _write_files(batches: Iterable[pd.DataFrame], links: bool) -> Iterator[pd.DataFrame]:
+    """Write each row's content under its path; ``links`` makes links to ``content`` instead."""
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"], strict=True):
+            name = storage.bytes_of(storage.local_name(path))
+            os.makedirs(os.path.dirname(name), exist_ok=True)
+            if links:
+                # A task that is run again finds its link.
+                if not os.path.islink(name):
+                    os.symlink(storage.bytes_of(storage.local_name(content)), name)
+            else:
+                with open(name, "wb") as file:
+                    file.write(content)
+        yield batch[["path"]]
+
+
+def written_documents(spark: SparkSession, sf_dir: str) -> str:
+    """A shared folder in which every document is a file ``<source>/<lang>/<name>``, written by tasks.
+
+    Some names are hidden, hold URI marks, or are not UTF-8 (the private character is the byte 0xFF).
+    Every source's folder links to the next one's, the last to the first, so links run in a circle.
+    Spanish documents lie outside, where only links lead to. Some files have links to them besides.
+    """
+    base, outside = (storage.full_form(new_path(spark, name)) for name in ("documents", "documents-outside"))
+    file = F.expr(
+        """case doc_id % 10 when 3 then concat('doc_', chr(61439), doc_id) when 4 then concat('.doc_', doc_id)
+                            when 5 then concat('doc #%20 ', doc_id) else concat('doc_', doc_id, '.txt') end"""
+    )
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", F.encode("text", "UTF-8").alias("content"),
+        F.concat_ws("/", F.when(F.col("lang") == "es", outside).otherwise(base), "source", "lang", file).alias("path"),
+    )
+    stage(docs.select("path", "content").mapInPandas(partial(_write_files, links=False), "path string"), "written")
+
+    sources = docs.select("source").distinct()
+    following = sources.agg(F.array_sort(F.collect_list("source")).alias("all"))
+    circle = sources.crossJoin(F.broadcast(following)).select(
+        F.concat_ws("/", F.lit(base), "source", F.lit("next")).alias("path"),
+        F.concat(F.lit(f"{base}/"), F.expr("element_at(all, int(array_position(all, source) % size(all) + 1))")).alias("content"),
+    )
+    spanish = docs.filter("lang = 'es'").select("source").distinct().select(
+        F.concat_ws("/", F.lit(base), "source", F.lit("es")).alias("path"),
+        F.concat_ws("/", F.lit(outside), "source", F.lit("es")).alias("content"),
+    )
+    again = docs.filter("doc_id % 10 = 0 and lang <> 'es'").select(
+        F.concat("path", F.lit(".link")).alias("path"), F.col("path").alias("content")
+    )
+    links = circle.unionByName(spanish).unionByName(again)
+    stage(links.mapInPandas(partial(_write_files, links=True), "path string"), "linked")
+    return base
+
+
+def beneath(rows: DataFrame, base: str) -> DataFrame:
+    """``full_path`` from the given folder on."""
+    return rows.withColumn("full_path", F.substr(F.col("full_path"), F.lit(len(base) + 2)))

@@ -238,6 +238,20 @@ SELECT 'batch-' || sha256(drive) AS scan_run_id, 'F' AS entry_type, file_name, f
   size_bytes, date_modified_utc, date_created_utc, raw_hash AS content_hash, CAST(NULL AS VARCHAR) AS scan_error
 FROM inv_docs"""
 
+# Every document as a file of its own; Spanish ones are reached by links only.
+PARTS["stored_docs"] = """
+SELECT source, lang, source || '/' || lang || '/' || file_name AS full_path, file_name, size_bytes, content_hash
+FROM (SELECT source, lang, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, sha256(text) AS content_hash,
+        CASE doc_id % 10 WHEN 3 THEN 'doc_' || chr(61439) || doc_id WHEN 4 THEN '.doc_' || doc_id
+          WHEN 5 THEN 'doc #%20 ' || doc_id ELSE 'doc_' || doc_id || '.txt' END AS file_name
+      FROM documents)"""
+# Their folders from a source's folder on, in the shape of the other inventories.
+PARTS["stored_folders"] = _folders(
+    "(SELECT 'r' AS scan_run_id, 's3://' || full_path AS full_path, size_bytes, content_hash, "
+    "CAST(NULL AS TIMESTAMP) AS date_modified_utc, CAST(NULL AS TIMESTAMP) AS date_created_utc "
+    "FROM stored_docs WHERE lang <> 'es')"
+)
+
 PARTS["report_rows"] = """
 SELECT 'files' AS section, * FROM file_sets WHERE wasted_bytes >= 2000
 UNION ALL SELECT 'folders', * FROM folder_sets WHERE wasted_bytes >= 2000"""
@@ -276,6 +290,20 @@ SELECT 'batch-' || sha256(drive) AS scan_run_id, TIMESTAMP '2024-01-01 00:00:00'
   CAST(NULL AS VARCHAR) AS scan_error
 FROM (SELECT DISTINCT drive FROM scans_docs WHERE drive IS NOT NULL)"""
 
+SQL["file_listing"] = "SELECT full_path, file_name, size_bytes FROM stored_docs WHERE lang <> 'es'"
+SQL["linked_file_listing"] = "SELECT full_path, file_name, size_bytes FROM stored_docs"
+SQL["multi_root_listing"] = """
+SELECT source AS root, full_path, size_bytes FROM stored_docs WHERE lang <> 'es' UNION ALL SELECT 'none', 'none', NULL"""
+SQL["file_hashes"] = "SELECT full_path, content_hash, CAST(NULL AS VARCHAR) AS error FROM stored_docs"
+SQL["inventory_of_files"] = """
+SELECT 'F' AS entry_type, full_path, file_name, size_bytes, content_hash FROM stored_docs WHERE lang <> 'es'
+UNION ALL SELECT 'D', rtrim(substr(full_path, 6), '/'), string_split(rtrim(full_path, '/'), '/')[-1], size_bytes, content_hash
+FROM stored_folders"""
+SQL["root_outcomes"] = """
+SELECT source AS root, 'Completed' AS status, count(*) FILTER (lang <> 'es') AS files_written, 0 AS folders_skipped
+FROM documents GROUP BY source
+UNION ALL SELECT 'none', 'Completed', 0, 1 UNION ALL SELECT 'folder', 'Failed', 0, 1"""
+
 # Runs
 
 SQL["latest_runs"] = "SELECT * FROM latest"
@@ -333,7 +361,24 @@ SQL["folder_rollup"] = """
 SELECT scan_run_id, full_path, file_count, hashed_count, size_bytes, date_modified_utc, date_created_utc, own_files
 FROM folders"""
 SQL["folder_fingerprints"] = "SELECT scan_run_id, full_path, file_name, size_bytes, content_hash FROM folders"
-SQL["folder_fingerprints_chained"] = "SELECT scan_run_id, full_path, content_hash FROM folders"
+
+
+def _chains(files: str) -> str:
+    return f"""
+SELECT scan_run_id, folder AS full_path,
+  sha256(unhex(string_agg(content_hash, '' ORDER BY content_hash) || {_le64("count(*)")})) AS chain_hash
+FROM (SELECT scan_run_id, content_hash, unnest({_ancestors("full_path")}) AS folder FROM {files})
+GROUP BY ALL HAVING count(*) = count(content_hash)"""
+
+
+SQL["folder_fingerprints_chained"] = _chains("entries_files")
+SQL["lineitem_folders_chained"] = _chains("line_files")
+_LANES = ", ".join(
+    f"CAST(sum(CAST('0x' || substr(content_hash, {1 + 6 * i}, 6) AS BIGINT)) AS BIGINT) AS lane_{i}" for i in range(4)
+)
+SQL["folder_summaries"] = f"""
+SELECT scan_run_id, folder AS full_path, count(*) AS file_count, count(content_hash) AS hashed_count, {_LANES}
+FROM (SELECT *, unnest({_ancestors("full_path")}) AS folder FROM entries_files) GROUP BY ALL"""
 SQL["folder_fingerprints_digested"] = f"""
 SELECT c.scan_run_id, c.folder AS full_path, leaf, digest
 FROM ({_leaves("entries_files")}) c

@@ -20,7 +20,7 @@ from echofold.plans.inventory import InventoryOptions, inventory_of_listing, inv
 from echofold.sources import listing as L
 from echofold.sources import run_log
 from echofold.sources.store import Inventory
-from echofold.staging import new_path
+from echofold.staging import new_path, stage
 from verification import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,22 +60,41 @@ def hash_files_limited(spark, sf_dir):
 
 @query
 def file_listing(spark, sf_dir):
-    """The given table files themselves, listed."""
-    return L.read_listing(spark, sf_dir).select("file_name", "size_bytes")
+    """Every document as a file, listed: hidden names, names that are not UTF-8, links left out."""
+    base = X.written_documents(spark, sf_dir)
+    return X.beneath(L.read_listing(spark, base), base).select("full_path", "file_name", "size_bytes")
+
+
+@query
+def linked_file_listing(spark, sf_dir):
+    """The same with links followed: they run in a circle, and some folders have no other way to them."""
+    base = X.written_documents(spark, sf_dir)
+    found = L.read_listings(spark, [base], follow_links=True).files
+    return X.beneath(found, base).select("full_path", "file_name", "size_bytes")
+
+
+def _source_roots(spark, sf_dir, base):
+    """One root per source, and one that does not exist."""
+    names = [row[0] for row in X.table(spark, sf_dir, "documents").select("source").distinct().collect()]
+    return [f"{base}/{name}" for name in [*sorted(names), "none"]]
 
 
 @query
 def multi_root_listing(spark, sf_dir):
-    """The same folder and one that does not exist: the second is skipped, not fatal."""
-    listings = L.read_listings(spark, [sf_dir, f"{sf_dir}/none"])
-    skipped = listings.skips.select("root", "full_path", F.lit(0).cast("long").alias("size_bytes"))
-    return listings.files.select("root", "full_path", "size_bytes").unionByName(skipped)
+    """A root per source and one that does not exist: that one is skipped, not fatal."""
+    base = X.written_documents(spark, sf_dir)
+    listings = L.read_listings(spark, _source_roots(spark, sf_dir, base))
+    skipped = listings.skips.select("root", "full_path", F.lit(None).cast("long").alias("size_bytes"))
+    found = X.beneath(listings.files.select("root", "full_path", "size_bytes").unionByName(skipped), base)
+    return found.withColumn("root", F.substr(F.col("root"), F.lit(len(base) + 2)))
 
 
 @query
 def file_hashes(spark, sf_dir):
-    """The given table files hashed block by block."""
-    return L.hash_results(L.read_listing(spark, sf_dir))
+    """Every document as a file, hashed block by block."""
+    base = X.written_documents(spark, sf_dir)
+    hashes = L.hash_results(L.read_listings(spark, [base], follow_links=True).files)
+    return X.beneath(hashes, base).select("full_path", "content_hash", "error")
 
 
 @query
@@ -134,9 +153,26 @@ def inventory_without_folders(spark, sf_dir):
 
 @query
 def inventory_of_files(spark, sf_dir):
-    """The given table files inventoried as storage objects."""
-    store = inventory_of_roots(spark, new_path(spark, "files"), "batch", [sf_dir])
-    return store.entries().select("entry_type", "file_name", "size_bytes", "content_hash")
+    """A root per source inventoried from storage, hashed in buckets."""
+    base = X.written_documents(spark, sf_dir)
+    options = InventoryOptions(bucket_bytes=1 << 20)
+    roots = _source_roots(spark, sf_dir, base)
+    store = inventory_of_roots(spark, new_path(spark, "files"), "batch", roots, options)
+    entries = store.entries().filter(F.col("full_path") >= base)
+    return X.beneath(entries, base).select("entry_type", "full_path", "file_name", "size_bytes", "content_hash")
+
+
+@query
+def root_outcomes(spark, sf_dir):
+    """Roots end on their own: sources are completed, one that is missing too, one of no known store fails."""
+    base = X.written_documents(spark, sf_dir)
+    roots = [*_source_roots(spark, sf_dir, base), "nostore://bucket/folder"]
+    store = inventory_of_roots(spark, new_path(spark, "outcomes"), "batch", roots)
+    skipped = store.skips().groupBy("scan_run_id").agg(F.count(F.lit(1)).alias("folders_skipped"))
+    return store.scans().join(skipped, "scan_run_id", "left").select(
+        F.element_at(F.split("roots", "/"), -1).alias("root"), "status", "files_written",
+        F.coalesce("folders_skipped", F.lit(0)).alias("folders_skipped"),
+    )
 
 
 @query
@@ -268,9 +304,14 @@ def folder_fingerprints(spark, sf_dir):
 
 @query
 def folder_fingerprints_chained(spark, sf_dir):
-    """Fingerprints of rows dealt in another way: the values stay the same."""
-    files = X.stored_files(spark, sf_dir).repartition(5, "file_name")
-    return FO.folder_rows(files).select("scan_run_id", "full_path", "content_hash")
+    """The plain chain over all hashes of a folder, the value that other tools exchange."""
+    return FO.chain_hashes(X.stored_files(spark, sf_dir))
+
+
+@query
+def lineitem_folders_chained(spark, sf_dir):
+    """The same over the large inventory, whose roots hold most of the files."""
+    return FO.chain_hashes(stage(X.lineitem_files(spark, sf_dir), "line-files"))
 
 
 @query
@@ -278,13 +319,22 @@ def folder_fingerprints_digested(spark, sf_dir):
     """The leaves that fingerprints are made of."""
     files = X.stored_files(spark, sf_dir)
     rollup = FO.numbered_rollup(files)
-    leaves = FO.leaf_digests(files, rollup).drop("file_count")
+    leaves = FO.leaf_digests(files, rollup, rollup).drop("file_count", "node")
     return leaves.join(rollup, "folder_id").select("scan_run_id", "full_path", "leaf", "digest")
 
 
+@query
+def folder_summaries(spark, sf_dir):
+    """Additive summaries of every folder's contents."""
+    return FO.folder_rollup(X.file_entries(spark, sf_dir), summarize=True).select(
+        "scan_run_id", "full_path", "file_count", "hashed_count", *FO.LANES
+    )
+
+
 @query
 def lineitem_folder_fingerprints(spark, sf_dir):
-    return X.lineitem_folders(spark, sf_dir).select("full_path", "size_bytes", "content_hash")
+    files = stage(X.lineitem_files(spark, sf_dir), "line-files")
+    return FO.folder_rows(files).select("full_path", "size_bytes", "content_hash")
 
 
 @query
