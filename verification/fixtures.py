@@ -255,7 +255,7 @@ def written_documents(spark: SparkSession, sf_dir: str) -> str:
     """
     base, outside = (storage.full_form(new_path(spark, name)) for name in ("documents", "documents-outside"))
     file = F.expr(
-        """case doc_id % 10 when 3 then concat('doc_', chr(61439), doc_id) when 4 then concat('.doc_', doc_id)
+        """case doc_id % 10 when 3 then concat('doc_', '\uefff', doc_id) when 4 then concat('.doc_', doc_id)
                             when 5 then concat('doc #%20 ', doc_id) else concat('doc_', doc_id, '.txt') end"""
     )
     docs = table(spark, sf_dir, "documents").select(

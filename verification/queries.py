@@ -158,7 +158,7 @@ def inventory_of_files(spark, sf_dir):
     options = InventoryOptions(bucket_bytes=1 << 20)
     roots = _source_roots(spark, sf_dir, base)
     store = inventory_of_roots(spark, new_path(spark, "files"), "batch", roots, options)
-    entries = store.entries().filter(F.col("full_path") >= base)
+    entries = store.entries().filter(F.startswith("full_path", F.lit(f"{base}/")))
     return X.beneath(entries, base).select("entry_type", "full_path", "file_name", "size_bytes", "content_hash")
 
 
