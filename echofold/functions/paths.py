@@ -109,7 +109,8 @@ def with_ancestors(rows: DataFrame, folder: str, name: str) -> DataFrame:
     """Each row once per folder from the root down to and including ``folder``, as column ``name``.
 
     The same as exploding ``ancestors_or_self``, but the prefixes are cut after the explode, where
-    they are part of generated code. A folder without a root yields nothing.
+    they are part of generated code. A folder without a root yields nothing; it is dropped after the
+    explode, because a test before it would be pushed down to the rows that ``folder`` is made from.
     """
     steps = "length(_body) - length(replace(_body, _separator, '')) + 1"
     depths = f"sequence(0, if(_body = '', 0, {steps}))"
@@ -129,7 +130,8 @@ def with_ancestors(rows: DataFrame, folder: str, name: str) -> DataFrame:
                 f"then {distinct} else {depths} end"
             ),
         )
-        .select("*", F.explode("_depths").alias("_depth"))
+        .select("*", F.explode_outer("_depths").alias("_depth"))
+        .filter("_depth is not null")
         .withColumn(
             name,
             F.expr(
