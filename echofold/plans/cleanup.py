@@ -58,6 +58,23 @@ def cleanup_execute(store: Inventory, out: str, dry_run: bool = False) -> Cleanu
     return CleanupResult(files, skips, written=True)
 
 
+def cleanup_in_place(store: Inventory, dry_run: bool = False) -> CleanupResult:
+    """Drop superseded runs from a path-based inventory by committing a new version of it.
+
+    No row is rewritten, and readers see either version whole. ``store.vacuum()`` frees the space later.
+    """
+    if not store.has_log():
+        raise NoCompletedRun("there is no run log to tell which runs to keep")
+    entries, skips = store.entries(), store.skips()
+    plan = cleanup_plan(entries, skips, store.scans())
+    files, skipped = plan.counts.first()
+    if dry_run or (files == 0 and skipped == 0):
+        return CleanupResult(files, skipped, written=False)
+    known = entries.select("scan_run_id").union(skips.select("scan_run_id")).distinct()
+    store.commit_dropped(retention.not_retained(known, plan.kept_runs))
+    return CleanupResult(files, skipped, written=True)
+
+
 # Partitions named in one statement.
 _DROP_BATCH = 100
 

@@ -1,10 +1,13 @@
-"""Analysis, report and cleanup after an inventory, as one chain."""
+"""Inventory, analysis, report and cleanup as one chain."""
 
 import logging
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
+
 from echofold.plans.analysis import DuplicateAnalysis, duplicates_over, top_duplicates
-from echofold.plans.cleanup import CleanupResult, cleanup_execute
+from echofold.plans.cleanup import CleanupResult, cleanup_execute, cleanup_in_place
+from echofold.plans.inventory import InventoryOptions, inventory_of_roots
 from echofold.plans.report import report_name, write_report
 from echofold.sources.store import Inventory, utc_now
 
@@ -21,6 +24,7 @@ class ChainOptions:
     report_to: str | None = None
     report_threshold_bytes: int = REPORT_THRESHOLD_BYTES
     cleanup_to: str | None = None
+    cleanup_in_place: bool = False
     dry_run: bool = False
     analyze: bool = True
 
@@ -32,10 +36,20 @@ class ChainResult:
     cleanup: CleanupResult | None = None
 
 
+def run_chain(
+    spark: SparkSession, base: str, batch: str, roots: list[str],
+    inventory: InventoryOptions = InventoryOptions(), options: ChainOptions = ChainOptions(),
+) -> ChainResult:
+    """Inventory the roots, then analyze, report and clean up. Only the inventory's own failure is raised."""
+    store = inventory_of_roots(spark, base, batch, roots, inventory)
+    return after_inventory(store, inventory.compute_hash, options)
+
+
 def after_inventory(store: Inventory, compute_hash: bool, options: ChainOptions) -> ChainResult:
     """Analyze, report and clean up. The inventory is done: failures here are logged, not raised.
 
-    Skipped without hashes. The report and the cleanup run only when a destination is given.
+    Skipped without hashes. The report runs only when a destination is given, the cleanup when it has one or
+    is to happen in place.
     """
     if not (compute_hash and options.analyze):
         return ChainResult()
@@ -66,9 +80,11 @@ def _report(store: Inventory, options: ChainOptions) -> str | None:
 
 
 def _clean(store: Inventory, options: ChainOptions) -> CleanupResult | None:
-    if options.cleanup_to is None:
+    if options.cleanup_to is None and not options.cleanup_in_place:
         return None
     try:
+        if options.cleanup_in_place:
+            return cleanup_in_place(store, options.dry_run)
         return cleanup_execute(store, options.cleanup_to, options.dry_run)
     except Exception:
         log.exception("analysis succeeded, but the cleanup failed")

@@ -1,5 +1,6 @@
 """The stored inventory as Parquet: entries and skips by run, an append-only run log, and hashing in progress."""
 
+import uuid
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -20,14 +21,18 @@ def ntz(moment: datetime) -> Column:
     return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+# Columns that are compared as keys; tables with fixed-width columns pad them.
+_KEYS = {"scan_run_id", "content_hash"}
+
+
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
-    """The schema's columns in order; absent ones are null."""
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    """The schema's columns in order; absent ones are null, and keys have no blanks at their end."""
+    def column(name: str) -> Column:
+        if name not in df.columns:
+            return F.lit(None)
+        return F.rtrim(name) if name in _KEYS else F.col(name)
+
+    return df.select(*[column(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 @dataclass(frozen=True)
@@ -54,10 +59,71 @@ class Inventory:
         return self.spark.createDataFrame([], schema) if found is None else found
 
     def entries(self) -> DataFrame:
-        return self._read_or_empty("entries", S.ENTRIES)
+        return self._live(self._read_or_empty("entries", S.ENTRIES))
 
     def skips(self) -> DataFrame:
-        return self._read_or_empty("skips", S.SKIPS)
+        return self._live(self._read_or_empty("skips", S.SKIPS))
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """Rows of runs that the version of this moment does not drop."""
+        dropped = self.dropped_runs()
+        return rows if dropped is None else rows.join(dropped, "scan_run_id", "left_anti").select(*rows.columns)
+
+    def _commits(self) -> list[str]:
+        """Names of the committed versions, oldest first."""
+        place = self._hadoop().Path(self._path("commits"))
+        files = place.getFileSystem(self._conf())
+        if not files.exists(place):
+            return []
+        names = (status.getPath().getName() for status in files.listStatus(place))
+        return sorted(name for name in names if name.isdigit())
+
+    def dropped_runs(self) -> DataFrame | None:
+        """Runs that the newest version drops (scan_run_id); null before the first cleanup in place."""
+        versions = self._commits()
+        if not versions:
+            return None
+        (list_name,) = self.spark.read.text(f"{self._path('commits')}/{versions[-1]}").first()
+        return self.spark.read.schema("scan_run_id string").parquet(self._path(f"dropped/{list_name}"))
+
+    def commit_dropped(self, runs: DataFrame) -> None:
+        """Make a version that drops these runs as well, all at once.
+
+        The list is written first, then a file that names it, which one rename puts in its place. Before the
+        rename nothing has changed, and after it every new read sees the new version; frames that were
+        made before keep the old one. If two cleanups meet, the second one's rename fails.
+        """
+        versions, before = self._commits(), self.dropped_runs()
+        listed = runs.select("scan_run_id") if before is None else runs.select("scan_run_id").union(before)
+        name = uuid.uuid4().hex
+        listed.distinct().write.parquet(self._path(f"dropped/{name}"))
+        hadoop, conf = self._hadoop(), self._conf()
+        target = hadoop.Path(f"{self._path('commits')}/{len(versions) + 1:010d}")
+        written = hadoop.Path(f"{self._path('commits')}/_{name}")
+        with_name = written.getFileSystem(conf).create(written, False)
+        with_name.write(bytearray(name.encode()))
+        with_name.close()
+        never_replace = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        never_replace[0] = hadoop.Options.Rename.NONE
+        context = hadoop.FileContext.getFileContext(written.getFileSystem(conf).getUri(), conf)
+        context.rename(context.makeQualified(written), context.makeQualified(target), never_replace)
+
+    def vacuum(self) -> None:
+        """Delete the folders of dropped runs, one per run and table; readers of older versions must be done."""
+        dropped = self.dropped_runs()
+        if dropped is None:
+            return
+        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for row in dropped.toLocalIterator():
+            for table in ("entries", "skips"):
+                place = self._hadoop().Path(f"{self._path(table)}/scan_run_id={escape(row['scan_run_id'])}")
+                place.getFileSystem(self._conf()).delete(place, True)
+
+    def _hadoop(self):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs
+
+    def _conf(self):
+        return self.spark.sparkContext._jsc.hadoopConfiguration()
 
     def scan_events(self) -> DataFrame:
         return self._read_or_empty("scan_events", S.SCAN_EVENTS)

