@@ -16,9 +16,10 @@ is split only where that separates its members; rounds recurse until all members
 connected or compared. Small regions are compared in full.
 
 Sets are 64-bit hashes of shingles; equal sets are one node from the start, so copies are never
-paired. A null text, or one without words, has an empty set and links with nothing; rows that repeat
-a ``doc_id`` are separate documents under one id; other columns are ignored; an empty table gives no
-rows.
+paired, and rows are never told by their ids. A null text, or one without words, has an empty set and
+links with nothing; rows that repeat a ``doc_id`` are documents of their own, which may be in different
+components; a null ``doc_id`` is never the smallest, and a component of only such rows has a null id; other
+columns are ignored; an empty table gives no rows.
 """
 
 from collections.abc import Iterator
@@ -99,16 +100,21 @@ def _summed(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return ends[borders[1:]] - ends[borders[:-1]]
 
 
+def _names(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """A number that names each set, whichever row it comes from."""
+    one, two = _summed(_mixed(values), borders), _summed(_mixed(values ^ _FACTORS[1]), borders)
+    return _mixed(one + _mixed(two + np.diff(borders).astype(np.uint64)) * _FACTORS[2]).view(np.int64)
+
+
 def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size of each document's set and two sums over it that name the set."""
+    """Size and name of each document's set."""
     for batch in batches:
         for part in steps(batch, "text", _STEP_BYTES):
             values, borders = shingle_sets(part.column("text"))
-            one, two = _summed(_mixed(values), borders), _summed(_mixed(values ^ _FACTORS[1]), borders)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(borders), pa.int64()), pa.array(one.view(np.int64)),
-                 pa.array(two.view(np.int64))],
-                names=["doc_id", "n_shingles", "one", "two"],
+                [part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(borders), pa.int64()),
+                 pa.array(_names(values, borders))],
+                names=["doc_id", "text_hash", "n_shingles", "node"],
             )
 
 
@@ -130,7 +136,7 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.Rec
             first = place < (n - -(-PERCENT * n // 100) + 1)[doc]
             chosen, owner = values[order][first], doc[first]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(chosen.view(np.int64)), part.column("doc_id").take(pa.array(owner)),
+                [pa.array(chosen.view(np.int64)), pa.array(_names(values, borders)[owner]),
                  pa.array(n[owner], pa.int32())],
                 names=["cell", "node", "info"],
             )
@@ -141,7 +147,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batch, "text", _STEP_BYTES):
             values, borders = shingle_sets(part.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(_names(values, borders)), lists], names=["node", "shingles"])
 
 
 def _prefixes(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -157,41 +163,66 @@ def _frequent(texts: DataFrame) -> np.ndarray:
     return np.sort(found.select("cell").toPandas()["cell"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def _cells(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+def _cells(texts: DataFrame) -> DataFrame:
     """The cells that several nodes share, with their members."""
     rows = stage(_prefixes(texts, _frequent(texts)), "prefixes")
     several = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell")
-    found = stage(rows.join(several, "cell", "left_semi").join(nodes, "node", "left_semi"), "prefix-cells")
+    # Copies of a set that came along are the same node.
+    found = rows.join(several, "cell", "left_semi").groupBy("cell", "node").agg(F.first("info").alias("info"))
+    found = stage(found, "prefix-cells")
     several = found.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell")
     return stage(found.join(several, "cell", "left_semi"), "cells")
 
 
-def join_groups(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles and the smallest doc_id reachable by links."""
-    texts = docs.select(F.col("doc_id").cast("bigint"), "text")
-    sets = stage(texts.mapInArrow(_signature_rows, "doc_id bigint, n_shingles bigint, one bigint, two bigint"), "sets")
-    # Equal sets are one node, named by the smallest id; empty ones stay alone.
-    name = ["n_shingles", "one", "two"]
-    named = sets.filter("n_shingles > 0").groupBy(*name).agg(F.min("doc_id").alias("node"))
+def _of_ids(texts: DataFrame, ids: DataFrame, exact: bool) -> DataFrame:
+    """Rows of ``texts`` whose id, null included, is among ``ids``; others too, if ``exact`` is not asked for.
+
+    The first sieve moves no text.
+    """
+    key = F.xxhash64("doc_id").alias("_key")
+    wanted = stage(ids.select(key).distinct(), "wanted-ids")
+    rows = only_wanted(texts.select("*", key), wanted, "_key")
+    return (rows.join(wanted, "_key", "left_semi") if exact else rows).select(*texts.columns)
+
+
+def row_groups(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, text_hash, n_shingles, and the smallest doc_id reachable by links.
+
+    Links are between sets, so rows are told apart by their texts and never by their ids.
+    """
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed = texts.select("*", F.xxhash64("text").alias("text_hash"))
+    sets = stage(signed.mapInArrow(_signature_rows, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint"), "sets")
+    # Equal sets are one node; empty ones stay alone.
+    named = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     named = stage(named, "nodes")
-    nodes = named.select("node").filter("node is not null").distinct()
+    # Sets are worked out again from the rows that have a set's smallest id, and from few others.
+    texts = _of_ids(texts, named.select(F.col("first_id").alias("doc_id")), exact=False)
 
-    found = _cells(texts, nodes)
+    found = _cells(texts)
     cells = stage(_distinct_cells(found), "distinct-cells")
     large = cells.filter(F.col("members") > SMALL_REGION)
     pairs = stage(_pairs_of_small_cells(cells.filter(F.col("members") <= SMALL_REGION), large), "near-pairs")
     candidates = large.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     groups = connect(
-        large.select("cell", "node", "info"), _sizes_fit, _measure(texts, stage(candidates, "candidates"), found),
+        large.select("cell", "node", "info"), _sizes_fit, _measure(texts, named, stage(candidates, "candidates"), found),
         radius=1 - PERCENT / 100, more_pairs=pairs,
     )
-    return (
-        sets.join(named, name, "left")
-        .join(groups, "node", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
+    grouped = named.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    labels = stage(grouped.join(smallest, "component").select("node", "component", "component_id"), "labels")
+    alone = F.col("n_shingles") == 0
+    return sets.join(labels, "node", "left").select(
+        "doc_id", "text_hash", "n_shingles", F.when(~alone, F.col("component")).alias("component"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
+def join_groups(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles and the smallest doc_id reachable by links."""
+    return row_groups(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def _distinct_cells(found: DataFrame) -> DataFrame:
     """One of the cells that hold the same members, as near copies share most of theirs, and how many these are."""
     members = found.groupBy("cell").agg(
@@ -233,16 +264,14 @@ def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def _measure(texts: DataFrame, wanted: DataFrame, found: DataFrame):
+def _measure(texts: DataFrame, named: DataFrame, wanted: DataFrame, found: DataFrame):
     """Exact distances of the pairs that share enough of their first pivots.
 
     The sets of all candidates (``wanted``: node) are worked out once.
     """
-    rows = texts.withColumnRenamed("doc_id", "node")
-    chosen = only_wanted(rows, wanted, "node").join(wanted, "node", "left_semi")
-    sets = stage(
-        chosen.select(F.col("node").alias("doc_id"), "text").mapInArrow(_set_rows, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "shingles"
-    )
+    ids = named.join(wanted, "node", "left_semi").select(F.col("first_id").alias("doc_id"))
+    sets = _of_ids(texts, ids, exact=True).mapInArrow(_set_rows, "node bigint, shingles array<bigint>")
+    sets = stage(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingles")
     firsts = found.join(wanted, "node", "left_semi").groupBy("node")
     firsts = stage(firsts.agg(F.collect_list("cell").alias("firsts"), F.max("info").alias("n")), "first-pivots")
     a_firsts, b_firsts = (firsts.select(*[F.col(c).alias(f"{side}_{c}") for c in firsts.columns]) for side in "ab")
@@ -265,9 +294,30 @@ def _measure(texts: DataFrame, wanted: DataFrame, found: DataFrame):
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each group of linked ones."""
-    groups = join_groups(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of linked ones: that with the smallest id, null last, then text hash.
+
+    A row is told by its id and text, so other texts under the id of one that goes stay. Rows that agree in
+    both are one document: one of them stays. Rows without words are never linked and all stay.
+    """
+    rows = stage(row_groups(docs).filter("component is not null"), "grouped-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
+    firsts = rows.groupBy("component").agg(F.min(place).alias("first"))
+    gone = rows.join(firsts, "component").filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash")
+    repeated = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+    keyed = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
+
+    def of(keys: DataFrame, kind: str, rows: DataFrame) -> DataFrame:
+        own = keys.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
+        same = rows["doc_id"].cast("bigint").eqNullSafe(F.col("_gone_id")) & (F.col("_text_hash") == F.col("_gone_hash"))
+        return rows.join(own, same, kind)
+
+    kept = of(stage(gone.distinct(), "rows-to-drop"), "left_anti", keyed)
+    repeated = stage(repeated, "repeated-rows")
+    if not repeated.isEmpty():
+        again = of(repeated, "left_semi", kept).dropDuplicates(["doc_id", "_text_hash"])
+        kept = of(repeated, "left_anti", kept).unionByName(again)
+    return kept.select(*docs.columns)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:

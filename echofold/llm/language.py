@@ -244,10 +244,13 @@ def keep_known_languages(docs: DataFrame) -> DataFrame:
     texts = sample(docs)
     if not texts:
         return docs
-    found = identify(docs, docs.columns, texts)
-    foreign = (F.octet_length("text") >= LEAST_BYTES) & (F.col("bits_per_byte") > MOST_BITS_PER_BYTE)
-    kept = found.filter((F.col("lang_pred") != UNKNOWN) & ~foreign).withColumn("lang", F.col("lang_pred"))
-    return kept.select(*docs.columns)
+    # Under names of their own, so that no column of the input is taken for one of the prediction.
+    own = {c: f"_own_{c}" for c in docs.columns}
+    rows = docs.select(*[F.col(c).alias(name) for c, name in own.items()], "text")
+    found = identify(rows, list(own.values()), texts)
+    foreign = (F.octet_length(own["text"]) >= LEAST_BYTES) & (F.col("bits_per_byte") > MOST_BITS_PER_BYTE)
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & ~foreign)
+    return kept.select(*[F.col("lang_pred" if c == "lang" else name).alias(c) for c, name in own.items()])
 
 
 def op2_language_id(spark: SparkSession, docs: DataFrame) -> DataFrame:

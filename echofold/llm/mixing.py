@@ -166,9 +166,10 @@ def mix(
     return placed.withColumn("taken", _taken(block_words))
 
 
-def _chosen(block: Column) -> Column:
+def _chosen(block: Column, prefix: str = "") -> Column:
     """Whether a block of the shard is taken once more: its number, stepped through all, is below the rest."""
-    return (block * F.col("step") + F.col("begin")) % F.col("n_blocks") < F.col("extra")
+    step, begin, n_blocks, extra = (F.col(prefix + c) for c in ("step", "begin", "n_blocks", "extra"))
+    return (block * step + begin) % n_blocks < extra
 
 
 def _taken(block_words: int) -> Column:
@@ -191,8 +192,8 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, **options)
     ``n_chars`` follows the text.
     """
     plan = mix(docs, block_words=block_words, **options).filter("taken > 0")
-    plan = plan.select(*[F.col(c).alias(f"_mix_{c}") if c in ("doc_id", "text_hash", "source", "size") else c
-                         for c in plan.columns if c not in ("source_size", "target", "taken")])
+    # Under names of their own, so that no column of the input is taken for one of the plan.
+    plan = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in plan.columns if c not in ("source_size", "target", "taken")])
     texts = docs.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "text"])
     same = (
         (F.col("_hash") == F.col("_mix_text_hash")) & F.col("doc_id").eqNullSafe(F.col("_mix_doc_id"))
@@ -200,9 +201,9 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, **options)
     )
     words = F.regexp_extract_all("text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), 1)
     part = F.array_join(
-        F.filter(words, lambda w, i: _chosen(F.floor((F.col("at") + i) / block_words))), ""
+        F.filter(words, lambda w, i: _chosen(F.floor((F.col("_mix_at") + i) / block_words), "_mix_")), ""
     )
-    whole = F.when(F.col("every") > 0, F.array_repeat("text", F.col("every").cast("int"))).otherwise(F.array())
+    whole = F.when(F.col("_mix_every") > 0, F.array_repeat("text", F.col("_mix_every").cast("int"))).otherwise(F.array())
     rows = texts.join(plan, same).withColumn("text", F.explode(F.concat(whole, F.array(part))))
     rows = rows.filter("text <> ''")
     if "n_chars" in docs.columns:
