@@ -7,6 +7,8 @@ from echofold.schemas import CONTENT_KEY
 
 # Parts in which the copies of one content are ranked on their own first.
 PATH_BUCKETS = 64
+# Contents named in a filter.
+MOST_LITERALS = 200
 
 
 def duplicate_sets(rows: DataFrame, min_wasted: int = 0) -> DataFrame:
@@ -49,6 +51,18 @@ def top_sets(sets: DataFrame, n: int) -> DataFrame:
     return sets.orderBy(F.col("wasted_bytes").desc(), *CONTENT_KEY).limit(max(n, 1))
 
 
+def of_chosen(rows: DataFrame, sets: DataFrame, most: int = MOST_LITERALS) -> DataFrame:
+    """Rows that may belong to the sets: where these are few, a filter that the scan itself can use.
+
+    Stored entries lie in the order of their hashes and have Bloom filters, so a scan for ten sets skips most
+    row groups. With more than ``most`` sets the rows stay as they are, and the join that follows selects.
+    """
+    chosen = sets.select("content_hash").distinct().limit(most + 1).collect()
+    if len(chosen) > most:
+        return rows
+    return rows.filter(F.col("content_hash").isin([row["content_hash"] for row in chosen]))
+
+
 def locations(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Every copy of every set, one row each, so a set of any size stays distributed."""
     return rows.join(sets.select(*CONTENT_KEY), CONTENT_KEY, "left_semi").select(

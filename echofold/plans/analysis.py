@@ -74,7 +74,7 @@ def top_duplicates(
         total=D.total_of_sets(all_sets),
         file_sets=file_sets,
         folder_sets=folder_sets,
-        file_locations=D.sample_locations(content.files, file_sets, k),
+        file_locations=D.sample_locations(D.of_chosen(content.files, file_sets), file_sets, k),
         folder_locations=D.sample_locations(pruned.independent, folder_sets, k),
     )
 

@@ -152,10 +152,13 @@ class Inventory:
         """Append rows, or replace the partitions (run, type) they belong to.
 
         The rebalance hint gives every partition files of the advisory size and splits a run that
-        holds most of the rows over many tasks.
+        holds most of the rows over many tasks. Inside a file rows lie in the order of their hashes, and the
+        hashes have a Bloom filter, for reading the copies of few contents.
         """
         shaped = conform(rows, S.ENTRIES).hint("rebalance", "scan_run_id", "entry_type")
+        shaped = shaped.sortWithinPartitions("scan_run_id", "entry_type", "content_hash")
         writer = shaped.write.mode("overwrite" if replace else "append")
+        writer = writer.option("parquet.bloom.filter.enabled#content_hash", "true")
         writer.option("partitionOverwriteMode", "dynamic").partitionBy(
             "scan_run_id", "entry_type"
         ).parquet(self._path("entries"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echofold import schemas as S
+from echofold.operators import duplicates as D
 from echofold.plans import inventory as I
 from echofold.plans.analysis import NoCompletedRun, duplicates_over, top_duplicates
 from echofold.operators.runs import latest_runs
@@ -169,6 +170,28 @@ def test_a_version_is_never_replaced(spark, store, monkeypatch):
         store.commit_dropped(runs)
 
 
+def test_locations_of_few_sets_skip_row_groups(spark, tmp_path):
+    n = 30_000
+    rows = spark.range(n).select(
+        F.lit("r").alias("scan_run_id"), F.lit("F").alias("entry_type"), F.concat(F.lit("/f"), "id").alias("full_path"),
+        F.lit(1).alias("size_bytes"), F.sha2((F.col("id") / 2).cast("int").cast("string"), 256).alias("content_hash"),
+    )
+    store = Inventory(spark, str(tmp_path / "i"))
+    store.create()
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("parquet.block.size", "65536")
+    try:
+        store.write_entries(rows)
+    finally:
+        conf.unset("parquet.block.size")
+    sets = spark.createDataFrame([(hashlib.sha256(str(i).encode()).hexdigest(), 1) for i in (5, 77)], "content_hash string, size_bytes bigint")
+    found = D.of_chosen(store.entries(), sets)
+    assert sorted(r.full_path for r in found.collect()) == ["/f10", "/f11", "/f154", "/f155"]
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() < n / 4
+    assert D.of_chosen(store.entries(), sets, most=1).count() == n
+
+
 def test_managed_tables_are_cleaned_up_in_place(spark, store, drives):
     again = inventory_of_roots(spark, store.base, "it's 2", drives[:1])
     for name, rows, by in [

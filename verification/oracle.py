@@ -341,6 +341,10 @@ SQL["dup_file_locations"] = """
 SELECT c.content_hash, c.size_bytes, c.full_path FROM cur_files c JOIN file_sets s
   ON s.content_hash = c.content_hash AND s.size_bytes = c.size_bytes"""
 
+SQL["top_dup_file_locations"] = f"""
+SELECT c.content_hash, c.size_bytes, c.full_path FROM cur_files c JOIN (SELECT * FROM file_sets {_TOP}) s
+  ON s.content_hash = c.content_hash AND s.size_bytes = c.size_bytes"""
+
 
 def _samples(rows: str, sets: str, k: int) -> str:
     return f"""

@@ -265,6 +265,15 @@ def dup_file_locations(spark, sf_dir):
     return D.locations(files, D.duplicate_sets(files))
 
 
+@query
+def top_dup_file_locations(spark, sf_dir):
+    """All copies of the ten most wasteful contents, read from a stored inventory by a filter on their hashes."""
+    entries = R.current_entries(_stored_inventory(spark, sf_dir).entries(), R.latest_runs(X.scans(spark, sf_dir)), S.FILE)
+    files = R.hashed(entries)
+    top = stage(D.top_sets(D.duplicate_sets(files), 10), "top-sets")
+    return D.locations(D.of_chosen(files, top), top)
+
+
 @query
 def dup_file_samples(spark, sf_dir):
     files = X.current_files(spark, sf_dir)
