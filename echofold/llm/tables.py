@@ -5,6 +5,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echofold.staging import staging_root
+
 # What separates words: the ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,9 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh place in the folder named by ``spark.checkpoint.dir``, else in the session's warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{folder.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    """A fresh place in the folder named by ``spark.checkpoint.dir``, else in a warehouse that is shared."""
+    return f"{staging_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
