@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from echofold import schemas as S
 from echofold.plans import inventory as I
@@ -144,16 +145,28 @@ def test_a_folder_that_cannot_be_listed_is_one_row(monkeypatch):
 # --- outcomes, stopping and going on ---
 
 
+def drives_in(top):
+    write(top / "d1", [f"f{i}/{j}.txt" for i in range(4) for j in range(5)])
+    write(top / "d2", ["x.txt", "y/z.txt"])
+    return [str(top / "d1"), str(top / "d2")]
+
+
 @pytest.fixture
 def drives(tmp_path):
-    write(tmp_path / "d1", [f"f{i}/{j}.txt" for i in range(4) for j in range(5)])
-    write(tmp_path / "d2", ["x.txt", "y/z.txt"])
-    return [str(tmp_path / "d1"), str(tmp_path / "d2")]
+    return drives_in(tmp_path)
+
+
+def state(store, top):
+    """All entries, with paths beneath the test's folder and without what names it."""
+    rows = store.entries().filter(F.startswith("full_path", F.lit(f"file:{top}/"))).collect()
+    return sorted((r.entry_type, r.full_path.removeprefix(f"file:{top}"), r.size_bytes, str(r.content_hash)) for r in rows)
 
 
-def state(store):
-    rows = store.entries().drop("scanned_at_utc").collect()
-    return sorted((tuple(r) for r in rows), key=str)
+@pytest.fixture(scope="module")
+def undisturbed(spark, tmp_path_factory):
+    top = tmp_path_factory.mktemp("undisturbed")
+    store = inventory_of_roots(spark, str(top / "i"), "b", drives_in(top), InventoryOptions(bucket_bytes=60))
+    return state(store, top)
 
 
 def test_roots_have_outcomes_of_their_own(spark, tmp_path, drives):
@@ -168,10 +181,9 @@ def test_roots_have_outcomes_of_their_own(spark, tmp_path, drives):
     assert store.entries().filter("entry_type = 'D' and content_hash is null").isEmpty()
 
 
-@pytest.mark.parametrize("stop_at", ["listing", 0, 2, "merge", "folders"])
-def test_a_stopped_inventory_goes_on_where_it_stopped(spark, tmp_path, drives, monkeypatch, stop_at):
-    options = InventoryOptions(bucket_bytes=40)
-    whole = state(inventory_of_roots(spark, str(tmp_path / "whole"), "b", drives, options))
+@pytest.mark.parametrize("stop_at", ["listing", 1, "merge", "folders"])
+def test_a_stopped_inventory_goes_on_where_it_stopped(spark, tmp_path, drives, monkeypatch, undisturbed, stop_at):
+    options = InventoryOptions(bucket_bytes=60)
 
     def stop(*_, **__):
         raise KeyboardInterrupt
@@ -197,12 +209,12 @@ def test_a_stopped_inventory_goes_on_where_it_stopped(spark, tmp_path, drives, m
     if stop_at != "listing":
         assert store.entries().filter("entry_type = 'F'").count() == 22
     done = {r.full_path for r in store.hashes("b").collect()}
-    assert (len(done) == 22) == (stop_at in ("merge", "folders")) and bool(done) == (stop_at not in ("listing", 0))
+    assert (len(done) == 22) == (stop_at in ("merge", "folders")) and bool(done) == (stop_at != "listing")
     # Files of finished buckets are not read again: they may be gone by now.
     for path in done:
         os.remove(path.removeprefix("file:"))
     resumed = resume_inventory(spark, base, "b", options)
-    assert state(resumed) == whole
+    assert state(resumed, tmp_path) == undisturbed
     assert {r.status for r in resumed.scans().collect()} == {S.COMPLETED}
     with pytest.raises(ValueError, match="left to finish"):
         resume_inventory(spark, base, "b", options)
