@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from echofold.llm import (
@@ -137,24 +138,80 @@ def test_language_query(spark, docs_of):
 
 def test_lines(spark, docs_of):
     line, near = prose(1, 60), prose(1, 59) + " other"
-    texts = [f"{line}\n{prose(2, 9)}", f"{line.upper()}\nkeep\n\nkeep", None, "", f"x y z q\n{prose(2, 9)}", f"{prose(2, 9)} "]
+    texts = [f"{line}\n{prose(2, 9)}", f"{line.upper()}\nkeep\n\nKeep ", None, "", f"x y z q\n{prose(2, 9)}", f"{prose(2, 9)} ",
+             f"\t{near}\n{line} two"]
     found = {r.doc_id: r for r in lines.dedup_lines(docs_of(texts)).collect()}
-    assert found[0].text == texts[0] and found[1].text == "keep\n\nkeep" and found[4].text == "x y z q"
-    assert (found[2].text, found[3].text, found[5].text) == (None, "", "")
-    assert near != line
+    # Lines too short to be like another one still meet their equals; blank ones stay.
+    assert found[0].text == texts[0] and found[1].text == "keep\n" and found[4].text == "x y z q"
+    assert (found[2].text, found[3].text, found[5].text, found[6].text) == (None, "", "", "")
+    assert (found[6].n_lines, found[6].n_removed) == (2, 2)
     assert {r.doc_id for r in lines.keep_first_lines(docs_of(texts)).collect()} == {0, 1, 2, 3, 4}
     assert lines.dedup_lines(docs_of([])).count() == 0
 
 
-def test_line_keys_meet_within_three_bits(spark):
+def test_line_keys_meet_within_seven_bits(spark):
     draw = random.Random(0)
-    for _ in range(20):
-        a = draw.getrandbits(63)
+    pairs = []
+    for _ in range(50):
+        a = draw.getrandbits(64) - (1 << 63)
         b = a
-        for bit in draw.sample(range(63), 3):
+        for bit in draw.sample(range(63), 7):
             b ^= 1 << bit
-        rows = spark.createDataFrame([(a,), (b,)], "h bigint").select(lines.block_keys("h")).collect()
-        assert set(rows[0][0]) & set(rows[1][0])
+        pairs.append((a, b))
+    keyed = spark.createDataFrame(pairs, "a bigint, b bigint").select(lines.block_keys("a"), lines.block_keys("b"))
+    assert all(set(a) & set(b) for a, b in keyed.collect())
+
+
+def test_line_hash_is_the_majority_of_distinct_words(spark):
+    norms = ["a b c", "a b c d e d e d", " ".join(f"w{i % 300}" for i in range(400)), "x" * 300]
+    words = F.array_distinct(F.split("norm", " "))
+    rows = spark.createDataFrame([(n,) for n in norms], "norm string").select(
+        lines.simhash("norm").alias("s"), F.transform(words, lambda w: F.xxhash64(w)).alias("h")
+    )
+    for row in rows.collect():
+        bits = [b for b in range(64) if sum(h >> b & 1 for h in row.h) * 2 > len(row.h)]
+        assert row.s % (1 << 64) == sum(1 << b for b in bits)
+
+
+def word_edits(a, b):
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
+        before = now
+    return before[-1]
+
+
+def test_near_lines_against_brute_force(spark, sf_dir):
+    """Of the pairs of different lines with an edit similarity of 0.75, nine in ten are found, and no others."""
+    draw = random.Random(5)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    for n in range(150):
+        words = prose(1000 + n, draw.randint(8, 40)).split(" ")
+        texts.append(" ".join(words))
+        for _ in range(draw.randint(1, len(words) // 8)):
+            words[draw.randrange(len(words))] = f"other{draw.randrange(1000)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    every = lines.lines_of(docs)
+    nodes = every.select("node", lines.simhash("norm").alias("simhash"), lines.n_words("norm").alias("words")).distinct()
+    group = {r.node: r.component for r in lines.groups_of(every, nodes.filter("words >= 3")).collect()}
+    norms = [(r.node, r.norm.split(" ")) for r in every.select("node", "norm").distinct().collect()]
+    linked, close = 0, {}
+    for i, (a, one) in enumerate(norms):
+        kinds = set(one)
+        for b, two in norms[:i]:
+            most = max(len(one), len(two)) // 4
+            if abs(len(one) - len(two)) <= most and len(kinds & set(two)) >= len(kinds) - most:
+                if word_edits(one, two) <= most:
+                    linked += 1
+                    close.setdefault(a, set()).add(b)
+                    close.setdefault(b, set()).add(a)
+    found = sum(group.get(a, 0) == group.get(b, 1) for a in close for b in close[a]) // 2
+    assert linked >= 150 and found >= 0.9 * linked
+    # Whatever is in a group is linked with something in it.
+    assert all(any(group.get(b) == c for b in close.get(a, ())) for a, c in group.items())
 
 
 def shingles(text):
