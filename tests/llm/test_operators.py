@@ -162,12 +162,13 @@ def test_line_keys_meet_within_seven_bits(spark):
     assert all(set(a) & set(b) for a, b in keyed.collect())
 
 
-def test_line_hash_is_the_majority_of_distinct_words(spark):
+def test_line_hash_is_the_majority_of_distinct_words(spark, docs_of):
     norms = ["a b c", "a b c d e d e d", " ".join(f"w{i % 300}" for i in range(400)), "x" * 300]
     words = F.array_distinct(F.split("norm", " "))
-    rows = spark.createDataFrame([(n,) for n in norms], "norm string").select(
-        lines.simhash("norm").alias("s"), F.transform(words, lambda w: F.xxhash64(w)).alias("h")
-    )
+    every = lines.lines_of(docs_of(norms))
+    hashed = every.select("node", F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
+    rows = lines.simhashes(every).filter("words > 2").select("node", F.col("simhash").alias("s")).join(hashed, "node")
+    assert rows.count() == 3
     for row in rows.collect():
         bits = [b for b in range(64) if sum(h >> b & 1 for h in row.h) * 2 > len(row.h)]
         assert row.s % (1 << 64) == sum(1 << b for b in bits)
@@ -195,8 +196,8 @@ def test_near_lines_against_brute_force(spark, sf_dir):
         texts.append(" ".join(words))
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
     every = lines.lines_of(docs)
-    nodes = every.select("node", lines.simhash("norm").alias("simhash"), lines.n_words("norm").alias("words")).distinct()
-    group = {r.node: r.component for r in lines.groups_of(every, nodes.filter("words >= 3")).collect()}
+    nodes = lines.simhashes(every).filter("words >= 3").select("node", "simhash", "words").distinct()
+    group = {r.node: r.component for r in lines.groups_of(every, nodes).collect()}
     norms = [(r.node, r.norm.split(" ")) for r in every.select("node", "norm").distinct().collect()]
     linked, close = 0, {}
     for i, (a, one) in enumerate(norms):
