@@ -153,3 +153,36 @@ def test_summaries_add_up(spark):
         parts = [rows[f"s3://b/{p}"][lane] for p in ("P", "Q", "T", "one")]
         assert rows["s3://b/"][lane] == sum(parts) + int(digest("alone")[6 * int(lane[-1]) :][:6], 16)
     assert rows["s3://b/P"][folders.LANES[0]] == rows["s3://b/Q"][folders.LANES[0]]  # h1 x 3 and h2
+
+
+def exchanges(frame):
+    return [line for line in planned(frame).splitlines() if " Exchange hashpartitioning" in line]
+
+
+def planned(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_for_ancestors_are_made_after_the_contents_are_dealt(spark):
+    """No join with lineage, and no exchange below a copy: own folder, leaf, folder; two for the roll-up."""
+    rows = folder_rows(files(spark, TREE))
+    assert len(exchanges(rows)) == 5
+    leaves = planned(folders._leaves(files(spark, TREE)))
+    assert leaves.index("Generate explode") < leaves.index("Exchange hashpartitioning(leaf")
+
+
+def test_a_chain_deals_its_contents_twice_and_joins_nothing(spark):
+    """Once to count them in their own folder, once by the folder that digests them."""
+    chains = folders.chain_hashes(files(spark, TREE))
+    assert len(exchanges(chains)) == 2 and "Join" not in planned(chains)
+    found = {r.full_path: r.chain_hash for r in chains.collect()}
+    # What is above a file without a hash has no chain, what lies beside it has.
+    assert "s3://b/P" in found and not {"s3://b/T", "s3://b/T/x", "s3://b/"} & set(found)
+
+
+def test_only_wanted_folders_are_copied_before_contents_are_dealt(spark):
+    frame = files(spark, TREE)
+    wanted = folders.folder_rollup(frame).filter("full_path like '%/P/a'")
+    leaves = {r.full_path for r in folders._leaves(frame, wanted).collect()}
+    assert leaves == {"s3://b/P/a"}
+    assert {r.full_path for r in folders.fingerprints(frame, wanted).collect()} == {"s3://b/P/a"}

@@ -48,3 +48,12 @@ def test_labels(spark):
     assert value(spark, text.remainder_note(F.lit(7), F.lit(5))) == "… and 2 more location(s)"
     assert value(spark, text.remainder_note(F.lit(5), F.lit(5))) is None
     assert value(spark, text.error_text(F.lit("IOException"), F.lit("gone"))) == "IOException: gone"
+
+
+@pytest.mark.parametrize("kept", ["ab" * 32, "AB" * 32, "abc", "", "h1", "h1  ", "\x01", "é", None])
+def test_a_packed_hash_unpacks_to_itself(spark, kept):
+    row = spark.createDataFrame([(kept,)], "h string").select(text.packed_hash(F.col("h")).alias("p"))
+    packed, again = row.select("p", text.unpacked_hash(F.col("p"))).first()
+    assert again == kept
+    if kept == "ab" * 32:
+        assert len(packed) == 33
