@@ -1,6 +1,6 @@
 import pytest
 
-from echofold.operators.duplicates import duplicate_sets, locations
+from echofold.operators.duplicates import duplicate_sets, locations, sample_locations
 from echofold.operators.folders import folder_rows
 from echofold.operators.prune import prune_folders
 from tests.trees import files
@@ -52,3 +52,26 @@ def test_sample_set_wastes_all_but_one_copy(spark):
     rows = files(spark, {f"{d}/v.mp4": ("video", size) for d in "abc"})
     found = duplicate_sets(rows).first()
     assert (found.copy_count, found.wasted_bytes, found.distinct_name_count) == (3, 2147483648, 1)
+
+
+@pytest.mark.parametrize("k", [1, 2, 1_001])
+def test_samples_deal_the_copies_once(spark, k):
+    frame = files(spark, {**{f"P/{i}": "h1" for i in range(5)}, "Q/a": "h1", "Q/b": "h2", "R/b": "h2", "R/c": "h3", "R/d": None})
+    found = sample_locations(frame, duplicate_sets(frame), k)
+    paths = {"h1": [*[f"P/{i}" for i in range(5)], "Q/a"], "h2": ["Q/b", "R/b"]}
+    expected = [(f"s3://b/{p}", n) for all_paths in paths.values() for n, p in enumerate(all_paths[:k], 1)]
+    assert sorted((r.full_path, r.position) for r in found.collect()) == sorted(expected)
+    if k <= 1_000:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        before = plan.index("WindowGroupLimit [packed")
+        # Cut before and after the one exchange that carries paths, with no join in between.
+        ranked = plan[plan.index("Window [row_number"):plan.index("Scan", before)]
+        assert ranked.count("Exchange hashpartitioning") == 1 and ranked.count("WindowGroupLimit") == 2
+        assert "Join" not in ranked
+
+
+def test_folder_sets_compare_packed_hashes(spark):
+    pruned = prune_folders(folder_rows(files(spark, SUB)))
+    assert pruned.kept.schema["content_hash"].dataType.simpleString() == "string"
+    staged = [f for f in pruned.kept.inputFiles() if "/set-members-" in f]
+    assert spark.read.parquet(*staged).schema["content_hash"].dataType.simpleString() == "binary"
