@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from echofold.functions import text
 from echofold.schemas import CONTENT_KEY
 
 # Parts in which the copies of one content are ranked on their own first.
@@ -17,9 +18,11 @@ def duplicate_sets(rows: DataFrame, min_wasted: int = 0) -> DataFrame:
     Copies are first counted per name, which spreads one very common content over many tasks and
     keeps that step a hash aggregate; the second step then sees one row per name.
     """
-    per_name = rows.groupBy(*CONTENT_KEY, "file_name").agg(F.count(F.lit(1)).alias("copies"))
+    key = ["packed", "size_bytes"]
+    packed = rows.withColumn("packed", text.packed_hash(F.col("content_hash")))
+    per_name = packed.groupBy(*key, "file_name").agg(F.count(F.lit(1)).alias("copies"))
     return (
-        per_name.groupBy(*CONTENT_KEY)
+        per_name.groupBy(*key)
         .agg(
             F.sum("copies").alias("copy_count"),
             F.min("file_name").alias("file_name"),
@@ -27,6 +30,10 @@ def duplicate_sets(rows: DataFrame, min_wasted: int = 0) -> DataFrame:
         )
         .withColumn("wasted_bytes", (F.col("copy_count") - 1) * F.col("size_bytes"))
         .filter((F.col("copy_count") > 1) & (F.col("wasted_bytes") >= min_wasted))
+        .select(
+            text.unpacked_hash(F.col("packed")).alias("content_hash"), "size_bytes",
+            "copy_count", "file_name", "distinct_name_count", "wasted_bytes",
+        )
     )
 
 
@@ -73,27 +80,29 @@ def locations(rows: DataFrame, sets: DataFrame) -> DataFrame:
 def sample_locations(rows: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     """The first ``k`` copies of each set in path order; ``k`` <= 0 keeps them all.
 
-    Copies are ranked twice. The first rank is within a content's path buckets and comes before the
-    join, so the copies of one very common content are dealt over many tasks, each of which passes on
-    at most ``k`` rows a bucket even before that shuffle; the join and the second rank see at most
-    ``PATH_BUCKETS * k`` rows of a content. (Spark cuts before a shuffle up to
-    ``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 by default.)
+    Copies are ranked before the join, dealt by content, so the rows are shuffled once. Each task passes on
+    at most ``k`` rows of a content, however common it is, for ``k`` up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default). For a larger ``k`` they are first
+    ranked within the content's path buckets, which deals one very common content over many tasks; the
+    second rank then sees at most ``PATH_BUCKETS * k`` rows of it.
     """
     if k <= 0:
         return locations(rows, sets)
-    bucket = F.pmod(F.xxhash64("full_path"), F.lit(PATH_BUCKETS))
-    in_bucket = Window.partitionBy(*CONTENT_KEY, "bucket").orderBy("full_path")
-    first = (
-        rows.filter("content_hash is not null")
-        .select(*CONTENT_KEY, "full_path", bucket.alias("bucket"))
-        .withColumn("position", F.row_number().over(in_bucket))
-        .filter(F.col("position") <= k)
-    )
-    by_path = Window.partitionBy(*CONTENT_KEY).orderBy("full_path")
-    return (
-        locations(first, sets)
-        .withColumn("position", F.row_number().over(by_path).cast("long"))
-        .filter(F.col("position") <= k)
+    key = ["packed", "size_bytes"]
+    packed = text.packed_hash(F.col("content_hash")).alias("packed")
+    first = rows.filter("content_hash is not null").select(packed, "size_bytes", "full_path")
+    if k > int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        bucket = F.pmod(F.xxhash64("full_path"), F.lit(PATH_BUCKETS))
+        in_bucket = Window.partitionBy(*key, "bucket").orderBy("full_path")
+        first = first.withColumn("bucket", bucket).withColumn("position", F.row_number().over(in_bucket))
+        first = first.filter(F.col("position") <= k).drop("bucket", "position")
+    by_path = Window.partitionBy(*key).orderBy("full_path")
+    ranked = first.withColumn("position", F.row_number().over(by_path)).filter(F.col("position") <= k)
+    # Not a semi join: that would be done before the rows are ranked and cut.
+    chosen = sets.select(packed, "size_bytes").distinct()
+    return ranked.join(chosen, key).select(
+        text.unpacked_hash(F.col("packed")).alias("content_hash"), "size_bytes", "full_path",
+        F.col("position").cast("long").alias("position"),
     )
 
 
