@@ -1,7 +1,7 @@
 """Building an inventory: list, hash, roll up folders, and log each root's run.
 
 An inventory of storage roots can stop at any point and go on later. Its listing is stored before any
-file is read. Files are then hashed bucket by bucket; a bucket's results are stored, and only then marked
+file is read. Files are then hashed bucket by bucket, many small ones at a time; a bucket's results are stored, and only then marked
 as finished, so an interrupted bucket is done again and a finished one never. ``resume_inventory`` does
 what is left.
 """
@@ -24,6 +24,8 @@ from echofold.staging import stage
 
 # Bytes that one task hashes in a bucket, about.
 _TASK_BYTES = 1 << 30
+# Jobs in which the buckets of an inventory are hashed, at most.
+_MOST_ROUNDS = 32
 
 
 @dataclass(frozen=True)
@@ -35,7 +37,8 @@ class InventoryOptions:
     durable_metadata: bool = False
     recreate: bool = False
     follow_links: bool = False
-    # Bytes hashed between two marks of progress; by default what keeps the cluster busy for a while.
+    # Bytes hashed between two marks of progress, or a 32nd of all if that is more; by default what keeps the
+    # cluster busy for a while.
     bucket_bytes: int | None = None
 
 
@@ -115,6 +118,9 @@ def _write_listing(store: Inventory, batch: str, roots: list[str], options: Inve
 def _write_hashes(store: Inventory, batch: str, files: DataFrame, options: InventoryOptions) -> None:
     """Hash the files bucket by bucket, but for those finished, and merge all results into the entries.
 
+    Of more than ``_MOST_ROUNDS`` buckets several are done and marked together, so the number of jobs does
+    not grow with the bytes.
+
     A file's bucket follows from its run and path and from the number of buckets that was stored with
     the listing, so it is the same after a restart on another cluster.
     """
@@ -122,14 +128,22 @@ def _write_hashes(store: Inventory, batch: str, files: DataFrame, options: Inven
     (n_buckets,) = [r["number"] for r in done if r["step"] == S.LISTED][:1]
     finished = {r["number"] for r in done if r["step"] == S.HASHED}
     bucket = F.pmod(F.xxhash64("scan_run_id", "full_path"), F.lit(n_buckets))
-    pending = files.select(F.col("scan_run_id").alias("root"), "full_path", "size_bytes", bucket.alias("bucket"))
-    # A folder per bucket, so that each bucket's job reads its own rows only.
-    pending = stage(pending, "pending-files", partition_by=("bucket",))
-    for number in range(n_buckets):
-        if number not in finished:
-            results = L.hash_results(pending.filter(F.col("bucket") == number), options.max_hash_bytes)
-            store.write_hashes(results.withColumnRenamed("root", "scan_run_id"), batch, number)
-            store.write_progress(batch, S.HASHED, number)
+    n_rounds = min(n_buckets, _MOST_ROUNDS)
+    pending = files.select(
+        F.col("scan_run_id").alias("root"), "full_path", "size_bytes", bucket.alias("bucket"),
+        F.pmod(bucket, F.lit(n_rounds)).alias("round"),
+    )
+    pending = pending.join(F.broadcast(store.finished(batch)), "bucket", "left_anti").hint("rebalance", "round")
+    # A folder per round, so that each round's job reads its own rows only.
+    pending = stage(pending, "pending-files", partition_by=("round",))
+    of_result = F.pmod(F.xxhash64("root", "full_path"), F.lit(n_buckets))
+    for number in range(n_rounds):
+        buckets = [b for b in range(number, n_buckets, n_rounds) if b not in finished]
+        if buckets:
+            results = L.hash_results(pending.filter(F.col("round") == number), options.max_hash_bytes)
+            results = results.withColumn("bucket", of_result).withColumnRenamed("root", "scan_run_id")
+            store.write_hashes(results, batch)
+            store.write_progress(batch, S.HASHED, *buckets)
     # A copy, as the entries that it is read from are replaced by it.
     merged = stage(merge_hashes(files, store.hashes(batch)), "merged-entries")
     store.write_entries(_stamped(merged.drop("scanned_at_utc")), replace=True)

@@ -172,9 +172,10 @@ class Inventory:
     def progress(self, batch: str) -> DataFrame:
         return self._read_or_empty("progress", S.PROGRESS).filter(F.col("batch") == batch)
 
-    def write_progress(self, batch: str, step: str, number: int) -> None:
-        row = self.spark.createDataFrame([(batch, step, number, utc_now())], S.PROGRESS)
-        row.write.mode("append").parquet(self._path("progress"))
+    def write_progress(self, batch: str, step: str, *numbers: int) -> None:
+        """Mark a step as finished, for all the numbers at once."""
+        rows = self.spark.createDataFrame([(batch, step, n, utc_now()) for n in numbers], S.PROGRESS)
+        rows.coalesce(1).write.mode("append").parquet(self._path("progress"))
 
     def failures(self, batch: str) -> DataFrame:
         """Runs whose listing failed: scan_run_id, error."""
@@ -186,15 +187,19 @@ class Inventory:
         writer = shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("batch").parquet(self._path("failures"))
 
+    def finished(self, batch: str) -> DataFrame:
+        """The buckets that are finished: bucket."""
+        done = self.progress(batch).filter(F.col("step") == S.HASHED)
+        return done.select(F.col("number").alias("bucket")).distinct()
+
     def hashes(self, batch: str) -> DataFrame:
         """Hash results of the buckets that are finished."""
-        done = self.progress(batch).filter(F.col("step") == S.HASHED).select(F.col("number").alias("bucket"))
         found = self._read_or_empty("hashes", S.HASHES).filter(F.col("batch") == batch)
-        return found.join(done.distinct(), "bucket", "left_semi").drop("batch", "bucket")
+        return found.join(self.finished(batch), "bucket", "left_semi").drop("batch", "bucket")
 
-    def write_hashes(self, rows: DataFrame, batch: str, bucket: int) -> None:
-        """Store a bucket's results, in place of what an interrupted attempt may have left."""
-        shaped = conform(rows.withColumns({"batch": F.lit(batch), "bucket": F.lit(bucket)}), S.HASHES)
+    def write_hashes(self, rows: DataFrame, batch: str) -> None:
+        """Store the results of buckets, in place of what an interrupted attempt may have left."""
+        shaped = conform(rows.withColumn("batch", F.lit(batch)), S.HASHES).hint("rebalance", "bucket")
         writer = shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("batch", "bucket").parquet(self._path("hashes"))
 

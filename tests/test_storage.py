@@ -14,6 +14,7 @@ from echofold.plans.inventory import InventoryOptions, inventory_of_roots, resum
 from echofold.sources import listing as L
 from echofold.sources import storage
 from echofold.sources.store import Inventory
+from verification import fixtures
 
 
 def write(root, names):
@@ -218,3 +219,28 @@ def test_a_stopped_inventory_goes_on_where_it_stopped(spark, tmp_path, drives, m
     assert {r.status for r in resumed.scans().collect()} == {S.COMPLETED}
     with pytest.raises(ValueError, match="left to finish"):
         resume_inventory(spark, base, "b", options)
+
+
+def test_many_small_buckets_are_hashed_in_few_jobs(spark, tmp_path, drives, monkeypatch):
+    monkeypatch.setattr(I, "_MOST_ROUNDS", 2)
+    written, marked = [], []
+    write, mark = Inventory.write_hashes, Inventory.write_progress
+    monkeypatch.setattr(Inventory, "write_hashes", lambda *a: written.append(1) or write(*a))
+    monkeypatch.setattr(
+        Inventory, "write_progress", lambda s, b, step, *n: marked.extend(n if step == S.HASHED else ()) or mark(s, b, step, *n)
+    )
+    store = inventory_of_roots(spark, str(tmp_path / "i"), "b", drives, InventoryOptions(bucket_bytes=10))
+    assert len(written) == 2 and sorted(marked) == list(range(len(marked))) and len(marked) > 4
+    assert store.entries().filter("entry_type = 'F' and content_hash is not null").count() == 22
+
+
+def test_tasks_that_write_contents_hold_few_rows_at_a_time(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"rows": [len(batch)]})
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with fixtures.few_rows_a_batch(spark):
+        rows = [r.rows for r in spark.range(1_000, numPartitions=1).mapInPandas(sizes, "rows long").collect()]
+    assert max(rows) <= 100 and sum(rows) == 1_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
