@@ -10,6 +10,7 @@ and read storage.
 
 import os
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import partial
 
 import pandas as pd
@@ -230,6 +231,18 @@ def sized_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.explode(styles).alias("path"))
 
 
+@contextmanager
+def few_rows_a_batch(spark: SparkSession, most: int = 100) -> Iterator[None]:
+    """Python tasks of the jobs inside hold at most so many rows at a time, for rows with whole contents."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, min(most, int(before)) if int(before) > 0 else most)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def _write_files(batches: Iterable[pd.DataFrame], links: bool) -> Iterator[pd.DataFrame]:
     """Write each row's content under its path; ``links`` makes links to ``content`` instead."""
     for batch in batches:
@@ -262,7 +275,8 @@ def written_documents(spark: SparkSession, sf_dir: str) -> str:
         "doc_id", "source", "lang", F.encode("text", "UTF-8").alias("content"),
         F.concat_ws("/", F.when(F.col("lang") == "es", outside).otherwise(base), "source", "lang", file).alias("path"),
     )
-    stage(docs.select("path", "content").mapInPandas(partial(_write_files, links=False), "path string"), "written")
+    with few_rows_a_batch(spark):
+        stage(docs.select("path", "content").mapInPandas(partial(_write_files, links=False), "path string"), "written")
 
     sources = docs.select("source").distinct()
     following = sources.agg(F.array_sort(F.collect_list("source")).alias("all"))
