@@ -162,6 +162,21 @@ def test_line_keys_meet_within_seven_bits(spark):
     assert all(set(a) & set(b) for a, b in keyed.collect())
 
 
+def test_hashes_are_moved_once_per_first_block(spark):
+    draw = random.Random(1)
+    hashes = [(draw.getrandbits(64) - (1 << 63), 9) for _ in range(200)]
+    rows = spark.createDataFrame(hashes, "simhash bigint, words int")
+    keyed = lines.by_two_blocks(rows)
+    plan = keyed._jdf.queryExecution().optimizedPlan().toString()
+    # Nothing is dealt by both blocks: the second comes above the only exchange.
+    assert plan.count("Repartition") == 1 and plan.index("explode(slice") < plan.index("Repartition")
+    found = keyed.select("simhash", lines.key_of(F.col("one"), F.col("two")).alias("key"))
+    every = rows.select("simhash", F.explode(lines.block_keys("simhash")).alias("key"))
+    assert found.count() == 36 * 200 and found.exceptAll(every).isEmpty()
+    lines.near_cells(rows.withColumn("node", F.col("simhash")))
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
 def test_line_hash_is_the_majority_of_distinct_words(spark, docs_of):
     norms = ["a b c", "a b c d e d e d", " ".join(f"w{i % 300}" for i in range(400)), "x" * 300]
     words = F.array_distinct(F.split("norm", " "))
