@@ -25,10 +25,12 @@ from echofold.llm.tables import SPACE, stage
 
 SAMPLES = 64
 # Samples worked out per generated row: few enough for one compiled method.
-_PER_ROW = 4
+_PER_ROW = 8
 # Rows of a range, about.
 RANGE_ROWS = 1_024
 MOST_RANGES = 1 << 12
+# Rows of a range that share a term's draws, at most.
+LISTED = 1_024
 # A draw packs ln a in fixed point above the bits that name the sample; a fingerprint keeps the name.
 _SCALE, _NAME_BITS = 1 << 36, 16
 _BYTES = _NAME_BITS // 8
@@ -116,8 +118,8 @@ def _draw(k: Column) -> Column:
 def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
     """Fingerprints (binary) of ``text`` and ``edited`` per row of ``texts`` (keys, text, edited) with a word in either.
 
-    Terms that weigh the same in both texts draw once for both. No exchange is needed if the rows are
-    dealt by one of the keys.
+    Terms that weigh the same in both texts, or in several rows, draw once for all. The last key is a number that
+    neighbors share most of. No exchange is needed if the rows are dealt by one of the others.
     """
     both = texts.select(*keys, F.posexplode(F.array("text", "edited")).alias("edit", "text"))
     words = both.select(*keys, "edit", F.explode(F.split(F.lower("text"), SPACE)).alias("word")).filter("word <> ''")
@@ -125,14 +127,26 @@ def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(1 - F.col("edit")).alias("w0"), F.sum("edit").alias("w1")
     )
     weighed = terms.select(*keys, "h", "w0", "w1", F.explode(F.array_distinct(F.array("w0", "w1"))).alias("w")).filter("w > 0")
-    rows = weighed.select(
-        *keys, "h", (F.col("w") == F.col("w0")).alias("in0"), (F.col("w") == F.col("w1")).alias("in1"),
-        F.log(F.col("w").cast("double")).alias("log_weight"),
+    # A term's draws are the same wherever it weighs as much: they are worked out once for the rows of a list,
+    # which are near each other, and then given to each. Two bits tell which of a row's texts weigh so.
+    *outer, row = keys
+    held = F.col(row).cast("bigint") * 4 + (F.col("w") == F.col("w0")).cast("int") * 2 + (F.col("w") == F.col("w1")).cast("int")
+    shared = weighed.groupBy(*outer, "h", "w", F.floor(F.col(row) / LISTED).alias("list")).agg(F.collect_list(held).alias("held"))
+    rows = shared.select(
+        *outer, "h", F.log(F.col("w").cast("double")).alias("log_weight"), "held",
         F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // _PER_ROW - 1))).alias("g"),
     )
-    drawn = rows.select(*keys, "in0", "in1", "g", *[_draw(F.col("g") * _PER_ROW + i).alias(f"d{i}") for i in range(_PER_ROW)])
-    least = drawn.groupBy(*keys, "g").agg(
-        *[F.min(F.when(F.col(f"in{e}"), F.col(f"d{i}"))).alias(f"d{e}{i}") for e in range(2) for i in range(_PER_ROW)]
+    drawn = rows.select(*outer, "g", "held", *[_draw(F.col("g") * _PER_ROW + i).alias(f"d{i}") for i in range(_PER_ROW)])
+    given = drawn.select(*outer, "g", F.explode("held").alias("held"), *[f"d{i}" for i in range(_PER_ROW)])
+    given = given.select(
+        *outer, F.shiftright("held", 2).alias(row), "g", F.col("held").bitwiseAND(F.lit(3).cast("bigint")).alias("texts"),
+        *[f"d{i}" for i in range(_PER_ROW)],
+    )
+    # Terms of both texts and of either one have least draws of their own first, so each draw is compared once.
+    least = given.groupBy(*keys, "g", "texts").agg(*[F.min(f"d{i}").alias(f"d{i}") for i in range(_PER_ROW)])
+    weighs = [F.col("texts").bitwiseAND(F.lit(2 >> e).cast("bigint")) != 0 for e in range(2)]
+    least = least.groupBy(*keys, "g").agg(
+        *[F.min(F.when(weighs[e], F.col(f"d{i}"))).alias(f"d{e}{i}") for e in range(2) for i in range(_PER_ROW)]
     )
     mask = F.lit((1 << _NAME_BITS) - 1)
 

@@ -162,6 +162,22 @@ def test_line_keys_meet_within_seven_bits(spark):
     assert all(set(a) & set(b) for a, b in keyed.collect())
 
 
+def test_terms_draw_once_for_all_rows_of_a_list(spark):
+    texts = [("a b b c", "a b d"), ("b b x", "x"), ("a b b c", ""), ("", "d d d")]
+    rows = [(0, n, *pair) for n, pair in enumerate(texts)] + [(1, 1 + fingerprints.LISTED, *texts[0])]
+    made = spark.createDataFrame(rows, "range int, place int, text string, edited string")
+    found = fingerprints.fingerprints(made, ["range", "place"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Rows are told apart again only above the draws.
+    assert plan.index("explode(held") < plan.index("log_weight") < plan.rindex("collect_list")
+    together = {tuple(r) for r in found.collect()}
+    alone = fingerprints.fingerprints(made.filter("place = 0"), ["range", "place"]).collect()
+    assert len(together) == len(rows) and {tuple(r) for r in alone} <= together
+    by_place = {r[1]: r for r in together}
+    assert by_place[0][2:] == by_place[1 + fingerprints.LISTED][2:] and by_place[2][3] is None
+    assert by_place[0][2] == by_place[2][2]
+
+
 def test_hashes_are_moved_once_per_first_block(spark):
     draw = random.Random(1)
     hashes = [(draw.getrandbits(64) - (1 << 63), 9) for _ in range(200)]
