@@ -9,11 +9,14 @@ breaks the tie, and the regions a link can cross to are exactly those of the doc
 in too many shingles to link. The order puts shingles that many documents have last, so passages
 that a large part of the corpus shares do not become regions of unrelated documents.
 
-Inside a region, documents do share content, and document pivots work: in each round every member is
-compared exactly with some pivots of its region, and members are dealt to the Voronoi regions of these
-pivots, with copies where the triangle inequality allows a link across (``graph.connect``). A region
-is split only where that separates its members; rounds recurse until all members of a region are
-connected or compared. Small regions are compared in full.
+Inside a region, documents do share content, and document pivots work. Small regions are compared pair
+by pair, told by the pivots they share. In a larger one the member that lies in most regions is the pivot, and
+regions of one pivot are one: the members of a family of near copies meet once, not once per passage. Every
+member is compared exactly with its pivots. Members at distances from a pivot that differ by more than 0.25
+cannot link, and those that are both near it are connected already; of the others some are
+taken as further pivots in rounds, until all members of a region are connected or compared
+(``graph.connect``). Before two sets are compared, 1,024 parity bits of each tell most that are too
+different: bits that differ are shingles that only one of them has.
 
 Sets are 64-bit hashes of shingles; equal sets are one node from the start, so copies are never
 paired, and rows are never told by their ids. A null text, or one without words, has an empty set and
@@ -22,8 +25,8 @@ components; a null ``doc_id`` is never the smallest, and a component of only suc
 columns are ignored; an empty table gives no rows.
 """
 
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,12 @@ FREQUENT = 12
 MOST_FREQUENT = 1 << 18
 # Regions of one-shingle pivots with at most so many members are compared pair by pair.
 SMALL_REGION = 32
+# Slots of a set's parity bits. Sets of thousands of shingles fill them at random, and then they tell nothing apart.
+PARITIES = 1_024
+_BITS = [f"p{i}" for i in range(PARITIES // 64)]
+# Pivots of a region in the first round, and their growth: few pairs are left to compare with each.
+FIRST_PIVOTS = 32
+MORE_PIVOTS = 16
 _STEP_BYTES = 4 << 20
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                      0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -142,12 +151,25 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.Rec
             )
 
 
+def parities(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """For each set, whether each of PARITIES slots gets an odd number of its shingles, as a row of 64-bit words.
+
+    Shingles that two sets share cancel out: where the bits differ, at least one shingle is in only one of them.
+    """
+    n = len(borders) - 1
+    slot = (values % np.uint64(PARITIES)).astype(np.int64) + np.repeat(np.arange(n), np.diff(borders)) * PARITIES
+    odd = (np.bincount(slot, minlength=n * PARITIES) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8").reshape(n, PARITIES // 64)
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in steps(batch, "text", _STEP_BYTES):
             values, borders = shingle_sets(part.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(_names(values, borders)), lists], names=["node", "shingles"])
+            bits = [pa.array(np.ascontiguousarray(word)) for word in parities(values, borders).T]
+            columns = [pa.array(_names(values, borders)), pa.array(np.diff(borders), pa.int32()), *bits, lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", *_BITS, "shingles"])
 
 
 def _prefixes(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -192,9 +214,9 @@ def row_groups(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = texts.select("*", F.xxhash64("text").alias("text_hash"))
-    sets = stage(signed.mapInArrow(_signature_rows, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint"), "sets")
+    rows = stage(signed.mapInArrow(_signature_rows, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint"), "sets")
     # Equal sets are one node; empty ones stay alone.
-    named = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    named = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     named = stage(named, "nodes")
     # Sets are worked out again from the rows that have a set's smallest id, and from few others.
     texts = _of_ids(texts, named.select(F.col("first_id").alias("doc_id")), exact=False)
@@ -203,16 +225,23 @@ def row_groups(docs: DataFrame) -> DataFrame:
     cells = stage(_distinct_cells(found), "distinct-cells")
     large = cells.filter(F.col("members") > SMALL_REGION)
     pairs = stage(_pairs_of_small_cells(cells.filter(F.col("members") <= SMALL_REGION), large), "near-pairs")
-    candidates = large.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    regions = stage(_regions(large), "regions")
+    candidates = [regions.select("node"), regions.select("pivot"), pairs.select("a"), pairs.select("b")]
+    sets = _candidate_sets(texts, named, stage(reduce(DataFrame.union, candidates).distinct(), "candidates"))
+    measure = _measure(sets)
+    spokes = stage(measure(regions.select(F.col("pivot").alias("a"), F.col("node").alias("b"))), "spokes")
+    links = spokes.union(measure(stage(_sieved(pairs, sets), "sieved-pairs"))).filter("linked").select("a", "b")
+    members = spokes.join(sets.select(F.col("node").alias("b"), "n", *_BITS), "b")
+    info = F.struct("n", "distance", *_BITS).alias("info")
     groups = connect(
-        large.select("cell", "node", "info"), _sizes_fit, _measure(texts, named, stage(candidates, "candidates"), found),
-        radius=1 - PERCENT / 100, more_pairs=pairs,
+        members.select(F.col("a").alias("cell"), F.col("b").alias("node"), info), _can_link, measure,
+        known=links, first_pivots=FIRST_PIVOTS, more_pivots=MORE_PIVOTS,
     )
     grouped = named.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     labels = stage(grouped.join(smallest, "component").select("node", "component", "component_id"), "labels")
     alone = F.col("n_shingles") == 0
-    return sets.join(labels, "node", "left").select(
+    return rows.join(labels, "node", "left").select(
         "doc_id", "text_hash", "n_shingles", F.when(~alone, F.col("component")).alias("component"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
@@ -264,25 +293,52 @@ def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def _measure(texts: DataFrame, named: DataFrame, wanted: DataFrame, found: DataFrame):
-    """Exact distances of the pairs that share enough of their first pivots.
+def _regions(large: DataFrame) -> DataFrame:
+    """(pivot, node): the members of all cells that have the same pivot.
 
-    The sets of all candidates (``wanted``: node) are worked out once.
+    A cell's pivot is its member that lies in most cells, as the text that the others were made from does, so the
+    many cells of a family of near copies become one region. Two members of a cell are in its pivot's region.
     """
+    degree = large.groupBy("node").agg(F.sum("times").alias("degree"))
+    first = F.max(F.struct("degree", F.xxhash64("node").alias("hash"), "node"))["node"].alias("pivot")
+    pivots = large.select("cell", "node").join(degree, "node").groupBy("cell").agg(first)
+    return large.select("cell", "node").join(pivots, "cell").filter("node != pivot").select("pivot", "node").distinct()
+
+
+def _candidate_sets(texts: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, n, parity bits, shingles) of the nodes in ``wanted``, worked out once."""
     ids = named.join(wanted, "node", "left_semi").select(F.col("first_id").alias("doc_id"))
-    sets = _of_ids(texts, ids, exact=True).mapInArrow(_set_rows, "node bigint, shingles array<bigint>")
-    sets = stage(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingles")
-    firsts = found.join(wanted, "node", "left_semi").groupBy("node")
-    firsts = stage(firsts.agg(F.collect_list("cell").alias("firsts"), F.max("info").alias("n")), "first-pivots")
-    a_firsts, b_firsts = (firsts.select(*[F.col(c).alias(f"{side}_{c}") for c in firsts.columns]) for side in "ab")
+    bits = ", ".join(f"{p} bigint" for p in _BITS)
+    sets = _of_ids(texts, ids, exact=True).mapInArrow(_set_rows, f"node bigint, n int, {bits}, shingles array<bigint>")
+    return stage(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingles")
+
+
+def _parities_fit(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether two sets' parities leave room for a link: it allows (1 - J) / (1 + J) of both sizes to be in one only."""
+    apart = reduce(Column.__add__, [F.bit_count(a(p).bitwiseXOR(b(p))) for p in _BITS])
+    return apart * (100 + PERCENT) <= (a("n") + b("n")) * (100 - PERCENT)
+
+
+def _can_link(a: Column, b: Column) -> Column:
+    """Whether two members of a region can link, by their distances from its pivot, sizes and parities."""
+    near = F.abs(a["distance"] - b["distance"]) <= 1 - PERCENT / 100 + 1e-9
+    return near & _sizes_fit(a["n"], b["n"]) & _parities_fit(a.getField, b.getField)
+
+
+def _sieved(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose parities leave room for a link."""
+    a, b = (sets.select(*[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", *_BITS)]) for side in "ab")
+    met = pairs.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node"))
+    return met.filter(_parities_fit(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b")
+
+
+def _measure(sets: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Exact distances of pairs of candidates."""
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set"))
 
     def measure(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(a_firsts, F.col("a") == F.col("a_node")).join(b_firsts, F.col("b") == F.col("b_node"))
-        shared = F.size(F.array_intersect("a_firsts", "b_firsts"))
-        near = met.filter(_enough(shared, F.col("a_n"), F.col("b_n"))).select("a", "b")
-        compared = stage(near, "near").join(a, "a").join(b, "b").select(
+        compared = pairs.join(a, "a").join(b, "b").select(
             "a", "b", F.size(F.array_intersect("a_set", "b_set")).alias("both"),
             (F.size("a_set") + F.size("b_set")).alias("sizes"),
         )

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -251,6 +252,53 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
 
 
+def test_jaccard_families_meet_in_one_region(spark, docs_of, monkeypatch):
+    """Two families of near copies: the rounds compare few of their pairs, the groups are those of all links."""
+    random.seed(5)
+    words = [f"w{i}" for i in range(5_000)]
+    texts = []
+    for _ in range(2):
+        base = random.choices(words, k=120)
+        for i in range(40):
+            text = list(base)
+            for at in random.sample(range(120), i % 10):
+                text[at] = random.choice(words)
+            texts.append(" ".join(text))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    group = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            low, high = sorted((group[a], group[b]))
+            group = [low if g == high else g for g in group]
+    listed = []
+    connect = jaccard.connect
+
+    def counted(cells, keep, measure, **more):
+        def measured(pairs):
+            listed.append(pairs.count())
+            return measure(pairs)
+        return connect(cells, keep, measured, **more)
+
+    monkeypatch.setattr(jaccard, "connect", counted)
+    found = {r.doc_id: r.component_id for r in jaccard.join_groups(docs_of(texts)).collect()}
+    assert found == dict(enumerate(group))
+    assert len(set(group)) > 2
+    assert sum(listed) < 2 * 40 * 39 / 2 / 4
+
+
+def test_parities_never_exceed_the_difference():
+    random.seed(6)
+    base = [f"w{random.randrange(400)}" for _ in range(300)]
+    texts = [base, base[30:], base[:150] + base[170:], [f"v{i}" for i in range(5_000)], ["a"], []]
+    values, borders = jaccard.shingle_sets(pa.array([" ".join(t) for t in texts]))
+    sets = [set(values[a:b].tolist()) for a, b in itertools.pairwise(borders)]
+    bits = jaccard.parities(values, borders)
+    assert bits.shape == (len(texts), jaccard.PARITIES // 64)
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        apart = sum(int(w).bit_count() for w in (bits[a] ^ bits[b]).view("<u8"))
+        assert apart <= len(sets[a] ^ sets[b]) and (len(sets[a] ^ sets[b]) - apart) % 2 == 0
+
+
 def test_jaccard_groups(spark, docs_of):
     draw = random.Random(3)
     texts = list(TEXTS)
