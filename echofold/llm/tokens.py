@@ -132,10 +132,14 @@ class Encoder:
         if not whole:
             return ids, counts
         # Texts encoded whole have no ids yet: put theirs in between.
-        parts = np.split(ids, np.cumsum(counts)[:-1])
-        for at, own in zip(np.flatnonzero(odd), whole, strict=True):
-            parts[at], counts[at] = own, len(own)
-        return np.concatenate(parts), counts
+        at = np.flatnonzero(odd)
+        ends = np.cumsum(counts)[at]
+        parts, begin = [], 0
+        for end, own in zip(ends.tolist(), whole, strict=True):
+            parts += [ids[begin:end], own]
+            begin = end
+        counts[at] = [len(own) for own in whole]
+        return np.concatenate([*parts, ids[begin:]]), counts
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.blanks:

@@ -459,3 +459,20 @@ def test_repeated_rows(spark, docs_of):
     assert mixing.op10_source_mixing(spark, twice).count() == 6
     assert packing.op9_best_fit_packing(spark, twice).count() == 6
     assert fingerprints.op4_document_fingerprints(spark, twice).count() == 6
+
+
+def test_odd_texts_leave_the_others_in_one_piece(monkeypatch):
+    """Texts that are encoded whole, at either end and side by side; the others are not cut apart for them."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    odd, plain = "two  blanks ", "one word more"
+    texts = [odd, plain, None, odd, odd, plain, "", odd]
+    library = Tokenizer.from_file(path)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    encoder = tokens.Encoder(path, blanks=True)
+    encoder.encode(pa.array([plain]))
+    monkeypatch.setattr(tokens.np, "split", None)
+    ids, counts = encoder.encode(pa.array(texts))
+    assert counts.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
