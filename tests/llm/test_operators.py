@@ -194,6 +194,62 @@ def test_hashes_are_moved_once_per_first_block(spark):
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
 
 
+def test_linked_lines_share_a_word_to_meet(spark, docs_of):
+    """A quarter of the words edited, or dropped, or added: one of the chosen words is left."""
+    draw = random.Random(2)
+    pairs = []
+    for n in range(120):
+        one = [f"w{draw.randrange(40)}" * draw.randint(1, 3) for _ in range(draw.randint(3, 30))]
+        two = list(one)
+        for _ in range(len(one) // 4):
+            spot = draw.randrange(len(two))
+            two[spot : spot + draw.randint(0, 1)] = [f"new{n}" * 9] * draw.randint(0, 1)
+        pairs.append((" ".join(one), " ".join(two)))
+    lined = [(2 * n + i, norm) for n, pair in enumerate(pairs) for i, norm in enumerate(pair)]
+    held = {r.node: set(r.held) for r in lines.words_to_meet(spark.createDataFrame(lined, "node bigint, norm string")).collect()}
+    linked = 0
+    for n, (one, two) in enumerate(pairs):
+        one, two = one.split(" "), two.split(" ")
+        if word_edits(one, two) <= max(len(one), len(two)) // 4:
+            linked += 1
+            assert held[2 * n] & held[2 * n + 1]
+    assert linked > 100 and held[0] and max(map(len, held.values())) <= 9
+
+
+@pytest.mark.parametrize("common", [(1, 1), (1, 1 << 14), (1 << 9, 1 << 14)])
+def test_near_hashes_meet_only_beneath_a_shared_word(spark, monkeypatch, common):
+    monkeypatch.setattr(lines, "COMMON_WORD", common[0])
+    monkeypatch.setattr(lines, "VERY_COMMON_WORD", common[1])
+    draw = random.Random(3)
+    rows = []
+    for n in range(60):
+        simhash = draw.getrandbits(64)
+        for i in range(4):
+            changed = simhash
+            for bit in draw.sample(range(64), draw.choice([1, 3, 7, 12])):
+                changed ^= 1 << bit
+            rows.append((4 * n + i, changed - (1 << 63), 8, [draw.randrange(4), 4 + draw.randrange(4)]))
+    nodes = spark.createDataFrame(rows, "node bigint, simhash bigint, words int, held array<int>")
+    by_cell = {}
+    for r in lines.near_cells(nodes.drop("held"), nodes.select("node", "held")).collect():
+        by_cell.setdefault(r.cell, set()).add(r.node)
+    together = {(a, b) for cell in by_cell.values() for a in cell for b in cell if a < b}
+    starts = [sum(lines.BLOCKS[:b]) for b in range(len(lines.BLOCKS))]
+    wanted, apart = set(), 0
+    for a, x, _, held in rows:
+        for b, y, _, other in rows[a + 1 :]:
+            differ = x ^ y
+            equal = sum(differ >> s & (1 << w) - 1 == 0 for s, w in zip(starts, lines.BLOCKS, strict=True))
+            if bin(differ % (1 << 64)).count("1") <= lines.MOST_BITS and equal >= 2:
+                if set(held) & set(other):
+                    wanted.add((a, b))
+                else:
+                    # By blocks alone, they met.
+                    apart += 1
+                    assert (a, b) not in together
+    assert wanted <= together and apart > 20
+
+
 def test_line_hash_is_the_majority_of_distinct_words(spark, docs_of):
     norms = ["a b c", "a b c d e d e d", " ".join(f"w{i % 300}" for i in range(400)), "x" * 300]
     words = F.array_distinct(F.split("norm", " "))
