@@ -194,6 +194,17 @@ def test_hashes_are_moved_once_per_first_block(spark):
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
 
 
+def test_texts_that_lose_no_line_are_not_moved(spark, docs_of):
+    texts = [f"{prose(3, 9)}\n{prose(4, 9)}", prose(5, 9), None, "", prose(3, 9)]
+    found = lines.dedup_lines(docs_of(texts).withColumn("doc_id", F.when(F.col("doc_id") != 1, F.col("doc_id"))))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    moved, kept = plan.split("Filter NOT ")
+    assert plan.startswith("Union") and "doc_id" in moved and "<=>" in moved and "<=>" not in kept
+    assert {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in found.collect()} == {
+        (0, texts[0], 2, 0), (None, texts[1], 1, 0), (2, None, 0, 0), (3, "", 1, 0), (4, "", 1, 1)
+    }
+
+
 def test_linked_lines_share_a_word_to_meet(spark, docs_of):
     """A quarter of the words edited, or dropped, or added: one of the chosen words is left."""
     draw = random.Random(2)
@@ -226,7 +237,7 @@ def test_near_hashes_meet_only_beneath_a_shared_word(spark, monkeypatch, common)
         simhash = draw.getrandbits(64)
         for i in range(4):
             changed = simhash
-            for bit in draw.sample(range(64), draw.choice([1, 3, 7, 12])):
+            for bit in draw.sample(range(64), draw.choice([3, 5, 7, 12])):
                 changed ^= 1 << bit
             rows.append((4 * n + i, changed - (1 << 63), 8, [draw.randrange(4), 4 + draw.randrange(4)]))
     nodes = spark.createDataFrame(rows, "node bigint, simhash bigint, words int, held array<int>")
