@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from echofold.operators import folders
 from echofold.operators.folders import folder_rows
 from tests.trees import digest, files
+from verification.queries import REGISTRY
 
 
 def tree_of(hashes):
@@ -180,6 +181,17 @@ def test_a_chain_deals_its_contents_twice_and_joins_nothing(spark):
     assert "s3://b/P" in found and not {"s3://b/T", "s3://b/T/x", "s3://b/"} & set(found)
 
 
+def test_chains_of_a_table_read_once_write_no_copy_of_it(spark, tmp_path):
+    row = "1L as l_orderkey, 2L as l_partkey, 3L as l_suppkey, 4 as l_linenumber, 5.0D as l_quantity, 'R' as l_returnflag"
+    spark.sql(f"select {row}, timestamp_ntz'1996-04-01 00:00:00' as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    chains = REGISTRY["lineitem_folders_chained"](spark, str(tmp_path))
+    assert {f.rsplit("/", 2)[-2] for f in chains.inputFiles()} == {"lineitem.parquet"}
+    content = hashlib.sha256(b"2|5").digest()
+    chain = hashlib.sha256(content + struct.pack("<q", 1)).hexdigest()
+    folders_above = ["s3://r/", "s3://r/1996", "s3://r/1996/4", "s3://r/1996/4/o1"]
+    assert sorted((r.full_path, r.chain_hash) for r in chains.collect()) == [(f, chain) for f in folders_above]
+
+
 def test_only_wanted_folders_are_copied_before_contents_are_dealt(spark):
     frame = files(spark, TREE)
     wanted = folders.folder_rollup(frame).filter("full_path like '%/P/a'")
